@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import annotate_contamination
+from tidemark.llm.ledger import BASE_KINDS, joined, scan_versions
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.toxicity import annotate_toxicity, fit
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,19 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return annotate_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan_versions(table(spark, sf_dir, "documents"), key=["doc_id"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,6 +63,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_toxicity": op2_toxicity,
+        "op3_secrets": op3_secrets,
         "op6_simhash": op6_simhash,
     }
 
