@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import append_columns, materialize
 
@@ -98,14 +99,14 @@ def scan_versions(
     the first before the shuffle. A null text is the empty blob; null or
     repeated keys and rows each keep their row; no versions give no rows.
     """
-    now = rule_version(rules)
+    now, spans = rule_version(rules), to_arrow_type(T.ArrayType(SPAN))
     named = versions.select(*[F.col(f"`{k}`") for k in key], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    named = named.withColumn("blob", _address("__text"))
-    blobs = named.select("blob", "__text")
+    named = named.withColumn("__blob", _address("__text"))
+    blobs = named.select("__blob", "__text")
     if ledger is not None:
-        done = ledger.where(F.col("rule_version") == now).select("blob")
-        blobs = blobs.join(done, "blob", "left_anti")
-    blobs = blobs.groupBy("blob").agg(F.first("__text").alias("__text"))
+        done = ledger.where(F.col("rule_version") == now).select(F.col("blob").alias("__blob"))
+        blobs = blobs.join(done, "__blob", "left_anti")
+    blobs = blobs.groupBy("__blob").agg(F.first("__text").alias("__text"))
 
     def start():
         scan = scanner(rules)
@@ -115,17 +116,14 @@ def scan_versions(
 
         return step
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spans = to_arrow_type(T.ArrayType(SPAN))
     scanned = append_columns(blobs, {"text": F.col("__text")}, [T.StructField("spans", T.ArrayType(SPAN))], start)
-    fresh = materialize(scanned.select("blob", F.lit(now).alias("rule_version"), "spans"), "ledger")
+    fresh = materialize(scanned.select(F.col("__blob").alias("blob"), F.lit(now).alias("rule_version"), "spans"), "ledger")
     every = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == now).select("blob", "rule_version", "spans"))
     # Only what has findings is joined by its spans; a blob with very many versions is one row on this side.
-    hits = every.where(F.size("spans") > 0).select("blob", "spans")
-    found = named.drop("__text").join(hits, "blob", "left")
+    hits = every.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = named.drop("__text").join(hits, "__blob", "left")
     none = F.array().cast(T.ArrayType(SPAN))
-    return found.select(*[F.col(f"`{k}`") for k in key], "blob", F.coalesce("spans", none).alias("spans")), fresh
+    return found.select(*[F.col(f"`{k}`") for k in key], F.col("__blob").alias("blob"), F.coalesce("__spans", none).alias("spans")), fresh
 
 
 def joined(spans: F.Column) -> F.Column:
