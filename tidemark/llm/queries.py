@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import annotate_contamination
 from tidemark.llm.ledger import BASE_KINDS, joined, scan_versions
+from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.toxicity import annotate_toxicity, fit
 
@@ -60,12 +61,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def word_tokenizer() -> str:
+    """Where this machine has the tokenizer file that packing uses."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op6_simhash": op6_simhash,
+        "op8_packing": op8_packing,
     }
 
 
