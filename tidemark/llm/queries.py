@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import digest_conversations
 from tidemark.llm.common import table
 from tidemark.llm.decontamination import annotate_contamination
+from tidemark.llm.fingerprints import edited_and_next
 from tidemark.llm.ledger import BASE_KINDS, joined, scan_versions
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
@@ -57,6 +58,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
+        "op4_fingerprints": op4_fingerprints,
         "op6_simhash": op6_simhash,
         "op8_packing": op8_packing,
         "op9_chat": op9_chat,
