@@ -42,9 +42,9 @@ def test_edited_texts_and_equal_fingerprints(spark):
             assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
-def weighted(rnd, n, share):
+def weighted(rnd, n, share, own):
     """Two texts whose pairs of words overlap in part, with repeats."""
-    block = lambda tag: [f"{tag}{rnd.randrange(40)}" for _ in range(n)]
+    block = lambda tag: [f"{own}{tag}{rnd.randrange(40)}" for _ in range(n)]
     common, a, b = block("c"), block("a"), block("b")
     k = int(n * share)
     return " ".join(common[:k] * 2 + a[k:]), " ".join(common[:k] + b[k:] + common[: k // 2])
@@ -57,7 +57,7 @@ def bag(text):
 
 def test_likeness_is_generalised_jaccard(spark):
     rnd = random.Random(4)
-    pairs = [weighted(rnd, rnd.choice([60, 200]), rnd.random()) for _ in range(40)]
+    pairs = [weighted(rnd, rnd.choice([60, 200]), rnd.random(), i) for i in range(40)]
     rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
     for bins, rounds, most in ((1, 200, 0.12), (64, 1, 0.22), (64, 6, 0.1)):
         got = {r.doc_id: r.entries for r in f.fingerprint(spark.createDataFrame(rows, SCHEMA), bins=bins, rounds=rounds, partitions=4).collect()}

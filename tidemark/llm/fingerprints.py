@@ -8,11 +8,14 @@ with the least ln(c) - r (t - b + 1) is sampled, together with its t. Two sets
 draw the same (term, t) with the probability of their generalised Jaccard
 similarity, the sum of the smaller weights over the sum of the larger ones.
 
-Drawing every sample over all terms costs samples times terms. Here terms are
-dealt to ``bins`` by hash and each bin draws one sample of its terms (bin-wise
-sampling), so every term is drawn for once; likeness is the share of bins with
-equal samples among the bins that either text fills. ``rounds`` repeats this
-with other hashes; ``bins=1`` is plain sampling with as many samples as rounds.
+Drawing every sample over all terms costs samples times terms. Here the terms
+are dealt to ``bins`` by hash and each bin draws one sample of what it holds, so
+everything is drawn for once; likeness is the share of bins with equal samples
+among the bins that either text fills. So that bins hold like masses, a term of
+weight w is dealt out in pieces of weight 1, the last of what remains; sets of
+pieces have the same generalised Jaccard similarity as the terms. ``rounds``
+repeats this with other hashes; ``bins=1`` is plain sampling, with as many
+samples as rounds.
 """
 
 from __future__ import annotations
@@ -73,12 +76,12 @@ def _fingerprints(texts: DataFrame, keys: list[str], variants: list[str], bins:
     long = texts.select(*keys, F.explode(each).alias("e")).select(*keys, F.col("e.v").alias("v"), words(F.col("e.t")).alias("w"))
     long = long.select(*keys, "v", F.explode(pairs(F.col("w"))).alias("w"))
     counted = long.select(*keys, "v", F.xxhash64("w.a", "w.b").alias("term")).groupBy(*keys, "v", "term").agg(F.count(F.lit(1)).alias("n"))
-    if rounds > 1:
-        counted = counted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    else:
-        counted = counted.withColumn("round", F.lit(0))
-    bin_of = F.pmod(F.xxhash64("term", "round", F.lit("bin")), F.lit(bins)) + F.col("round") * bins
-    drawn = counted.select(*keys, "v", bin_of.alias("bin"), packed_draw(F.col("term"), F.col("n"), F.col("round")).alias("draw"))
+    pieces = counted.select(*keys, "v", "term", "n", F.explode(F.sequence(F.lit(1), F.ceil("n").cast("int"))).alias("j"))
+    pieces = pieces.select(*keys, "v", F.xxhash64("term", "j").alias("piece"), F.least(F.lit(1.0), F.col("n") - F.col("j") + 1).alias("weight"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))) if rounds > 1 else F.lit(0)
+    pieces = pieces.withColumn("round", every)
+    bin_of = F.pmod(F.xxhash64("piece", "round", F.lit("bin")), F.lit(bins)) + F.col("round") * bins
+    drawn = pieces.select(*keys, "v", bin_of.alias("bin"), packed_draw(F.col("piece"), F.col("weight"), F.col("round")).alias("draw"))
     least = drawn.groupBy(*keys, "v", "bin").agg(F.min("draw").alias("draw"))
     entry = F.shiftleft(F.col("bin"), _SAMPLE_BITS).bitwiseOR(F.col("draw").bitwiseAND(F.lit((1 << _SAMPLE_BITS) - 1))).cast("int")
     mine = lambda i: F.sort_array(F.collect_list(F.when(F.col("v") == i, entry)))
