@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, materialize, utf8
+from tidemark.llm.common import append_columns, materialize, slices, utf8
 
-#: Words held by a worker, bytes-for-ids each; then it starts afresh.
-CACHED_WORDS = 400_000
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words whose ids a worker holds; beyond that it starts afresh. Bytes of text that are looked up at a time.
+CACHED_WORDS = 600_000
+_AT_ONCE = 1 << 20
+#: Lower-case Latin letters and marks after them, else nothing, for each line.
+_WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.+)$", re.M)
 
 
 class WordTokenizer:
@@ -52,52 +55,53 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
         self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            self.letters.clear()
-        parts, other = {}, []
-        for w in new:
-            m = _WORD.fullmatch(w.decode("utf-8", "surrogatepass"))
-            if m:
-                parts[w] = m[1].lower(), m[2]
-            else:
-                other.append(w)
-        fresh = list({p for p, _ in parts.values() if p not in self.letters})
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
+        letters, words = self.letters, list(new)
+        found = _WORD.findall(b"\n".join(words).decode("utf-8", "replace").lower())
+        plain = [(w, p, m) for w, (p, m) in zip(words, found, strict=True) if p]
+        other = [w for w, (p, _) in zip(words, found, strict=True) if not p]
+        fresh = list({p for _, p, _ in plain}.difference(letters))
+        for i in range(0, len(fresh), 8192):
+            some = fresh[i : i + 8192]
             text = " 0 ".join(some).encode().decode("latin-1").translate(self.shown)
             (got,) = self.model.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.gap)
-            self.letters.update(zip(some, (x[1 if k else 0 :].tobytes() for k, x in enumerate(np.split(ids, cuts))), strict=True))
-        marks = list({m for _, m in parts.values() if m and m not in self.letters})
-        self.letters.update(zip(marks, self._ids(marks), strict=True))
-        self.letters[""] = b""
-        self.words.update((w, self.letters[p] + self.letters[m]) for w, (p, m) in parts.items())
+            cuts = (4 * np.flatnonzero(ids == self.gap)).tolist()
+            raw = ids.tobytes()
+            letters.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
+        marks = list({m for _, _, m in plain}.difference(letters))
+        letters.update(zip(marks, self._ids(marks), strict=True))
+        self.words.update([(w, letters[p] + letters[m]) for w, p, m in plain])
         self.words.update(zip(other, self._ids([w.decode("utf-8", "replace") for w in other]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        w = text.split() if text else []
-        known = self.words
-        try:
-            return b"".join([known[x] for x in w])
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(w), CACHED_WORDS // 4):
-            part = w[i : i + CACHED_WORDS // 4]
-            new = {x for x in part if x not in known}
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = []
+        for a, b in slices([len(t or b"") for t in texts], _AT_ONCE):
+            split = [t.split() if t else [] for t in texts[a:b]]
+            seen: set[bytes] = set().union(*split)
+            new = seen.difference(self.words)
+            if len(self.words) + len(new) > CACHED_WORDS:
+                self.words.clear()
+                self.letters.clear()
+                self.letters[""] = b""
+                new = seen
             if new:
-                self._learn(new | set(part) if len(known) + len(new) > CACHED_WORDS else new)
-            out.append(b"".join([known[x] for x in part]))
-        return b"".join(out)
+                self._learn(new)
+            known = self.words
+            out += [b"".join([known[x] for x in w]) for w in split]
+        return out
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of_process(path: str) -> WordTokenizer:
+    """One tokenizer a worker process: the tasks that it runs one after another share the words."""
+    return WordTokenizer(path)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -112,12 +116,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
     last = np.array([end_id], "<u4").tobytes()
 
     def start():
-        tokens = WordTokenizer(tokenizer)
+        tokens = tokenizer_of_process(tokenizer)
 
         def step(columns):
             out = []
-            for t in utf8(columns[0]):
-                ids = tokens(t) + last
+            for ids in tokens(utf8(columns[0])):
+                ids += last
                 parts = [(a // 4, ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)]
                 out.append([{"start": a, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p} for a, p in parts])
             return [pa.array(out, type=kind)]
