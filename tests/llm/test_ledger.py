@@ -51,8 +51,13 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert ledger.scan_versions(later, seen, key=["path", "version"], rules=other)[1].count() == 3
 
 
-def test_redact_and_clashes(spark):
+def test_redact_and_clashes(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a token = 'abcdefgh' b", "x"), (2, None, None), (3, "no", "y")], "doc_id long, text string, spans string")
-    assert [tuple(r) for r in ledger.redact(df).orderBy("doc_id").collect()] == [(1, "a [secret]' b", "x"), (2, None, None), (3, "no", "y")]
+    assert [tuple(r) for r in ledger.redact(df)[0].orderBy("doc_id").collect()] == [(1, "a [secret]' b", "x"), (2, None, None), (3, "no", "y")]
+    monkeypatch.setattr(ledger, "BROADCAST_BYTES", 0)
+    text = "é token=" + "ab12" * 8 + " 🙂 AKIA" + "Q" * 20 + " tail"
+    many = spark.createDataFrame([(i, text, len(text)) for i in range(3)] + [(9, "ok", 2)], "doc_id long, text string, n_chars long")
+    want = "é [secret] 🙂 [secret] tail"
+    assert [tuple(r) for r in ledger.redact(many, n_chars="n_chars")[0].orderBy("doc_id").collect()] == [(i, want, len(want)) for i in range(3)] + [(9, "ok", 2)]
     assert ledger.scan_versions(df.limit(0), key=["doc_id"])[0].count() == 0
     assert ledger.scan_versions(df, key=["doc_id", "spans"])[0].columns == ["doc_id", "spans", "blob", "spans"]

@@ -11,7 +11,6 @@ of many texts at a time ("lanes"), as array operations.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,13 +188,15 @@ def annotate_contamination(
     window: int = 13,
     min_share: tuple[int, int] = (1, 20),
     block_bytes: int = 32 << 20,
+    prefix: str = "",
 ) -> DataFrame:
     """Every row of ``docs``, with what it shares with the benchmark ``items``.
 
     Adds ``n_words`` and ``n_hit`` (words inside any occurrence of a window of
     ``window`` item words), ``n_items``, ``items`` (their ids as strings,
     sorted), ``items_sha256`` and ``contaminated`` (a hit, and hits in at least
-    ``min_share`` of the words). Columns of these names are replaced.
+    ``min_share`` of the words), and ``hit_ranges`` (of words, end exclusive), each
+    name after ``prefix``. Columns of these names are replaced.
 
     The search tables go to the executors whole: items are taken in blocks of
     about ``block_bytes`` of text, whose size is measured first. More than one
@@ -209,11 +210,12 @@ def annotate_contamination(
     spark = docs.sparkSession
     blocks = _item_blocks(items.where(F.col(f"`{item_id}`").isNotNull()), item_id, item_text, block_bytes)
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    found = [T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", ranges), T.StructField("items", T.ArrayType(T.StringType()))]
-    out = docs.drop("hit_ranges", "items")
+    n_words, hit_ranges, found_items = (f"{prefix}{n}" for n in ("n_words", "hit_ranges", "items"))
+    found = [T.StructField(n_words, T.LongType()), T.StructField(hit_ranges, ranges), T.StructField(found_items, T.ArrayType(T.StringType()))]
+    out = docs.drop(hit_ranges, found_items)
     for k, block in enumerate(blocks):
         index = spark.sparkContext.broadcast(WindowIndex([(r.i, r.t.encode("utf-8", "surrogatepass")) for r in block.collect()], window))
-        inputs = {"text": F.col(f"`{text}`")} | ({"ranges": F.col("hit_ranges"), "items": F.col("items")} if k else {})
+        inputs = {"text": F.col(f"`{text}`")} | ({"ranges": F.col(hit_ranges), "items": F.col(found_items)} if k else {})
 
         def start(index=index):
             def step(columns):
@@ -228,15 +230,15 @@ def annotate_contamination(
         out = append_columns(out, inputs, found, start)
         if k < len(blocks) - 1:
             out = materialize(out, "contamination")
-    hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
+    hit = F.aggregate(hit_ranges, F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
     num, den = min_share
     new = {
         "n_hit": hit,
-        "n_items": F.size("items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("items", ","), 256),
-        "contaminated": (hit > 0) & (hit * den >= F.col("n_words") * num),
+        "n_items": F.size(found_items).cast("long"),
+        "items_sha256": F.sha2(F.array_join(found_items, ","), 256),
+        "contaminated": (hit > 0) & (hit * den >= F.col(n_words) * num),
     }
-    return out.withColumns(new)
+    return out.withColumns({f"{prefix}{k}": c for k, c in new.items()})
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,11 +253,5 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns only."""
-    columns = docs.columns
-    marked = annotate_contamination(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{options.pop('text', 'text')}`").alias("text")), items, **options)
-    return marked.where(~F.col("contaminated")).select("row.*")
-
-
-def items_digest(items: set[str]) -> str:
-    """The digest of sorted item ids, as in ``items_sha256``."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    marked = annotate_contamination(docs, items, prefix="__c_", **options)
+    return marked.where("NOT __c_contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])

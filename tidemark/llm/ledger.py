@@ -42,6 +42,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 BASE_KINDS = ("assign", "access", "hex")
+#: Findings of at most this size, estimated from their number, are joined by broadcast.
+BROADCAST_BYTES = 32 << 20
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
@@ -99,9 +101,14 @@ def scan_versions(
     the first before the shuffle. A null text is the empty blob; null or
     repeated keys and rows each keep their row; no versions give no rows.
     """
-    now, spans = rule_version(rules), to_arrow_type(T.ArrayType(SPAN))
     named = versions.select(*[F.col(f"`{k}`") for k in key], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    named = named.withColumn("__blob", _address("__text"))
+    found, fresh = _with_spans(named.withColumn("__blob", _address("__text")), ledger, rules, ["__text"])
+    return found.select(*[F.col(f"`{k}`") for k in key], F.col("__blob").alias("blob"), F.col("__spans").alias("spans")), fresh
+
+
+def _with_spans(named: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], unneeded: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``named`` (with ``__text`` and ``__blob``), without ``unneeded``, with ``__spans``; and the ledger's new rows."""
+    now, spans = rule_version(rules), to_arrow_type(T.ArrayType(SPAN))
     blobs = named.select("__blob", "__text")
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == now).select(F.col("blob").alias("__blob"))
@@ -121,9 +128,11 @@ def scan_versions(
     every = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == now).select("blob", "rule_version", "spans"))
     # Only what has findings is joined by its spans; a blob with very many versions is one row on this side.
     hits = every.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    found = named.drop("__text").join(hits, "__blob", "left")
-    none = F.array().cast(T.ArrayType(SPAN))
-    return found.select(*[F.col(f"`{k}`") for k in key], F.col("__blob").alias("blob"), F.coalesce("__spans", none).alias("spans")), fresh
+    # By broadcast only if that is small, which is measured.
+    n, total = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
+    small = 100 * n + 60 * total <= BROADCAST_BYTES
+    found = named.drop(*unneeded).join(F.broadcast(hits) if small else hits, "__blob", "left")
+    return found.withColumn("__spans", F.coalesce("__spans", F.array().cast(T.ArrayType(SPAN)))), fresh
 
 
 def joined(spans: F.Column) -> F.Column:
@@ -131,31 +140,28 @@ def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``versions`` with every span of a secret in ``text`` replaced by ``mark``; all rows and columns stay.
+def _masked(text: str, spans: str, mark: str) -> F.Column:
+    """The text with each run of overlapping spans replaced by ``mark``; spans are sorted by start."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    The spans are found where the rows are, by the same rules; with a ledger,
-    the blobs it knows for this rule version are still masked, from its spans.
-    Overlapping spans are masked as one. A null text stays null.
-    """
-    columns = versions.columns
-    scan_rules = RULES
+    def step(s, x):
+        gap = F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"])
+        return F.struct(out.alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
-    def start():
-        scan = scanner(scan_rules)
-
-        def step(cols):
-            out = []
-            for t in cols[0].to_pylist():
-                parts, at = [], 0
-                for _, a, b in sorted(scan(t), key=lambda s: s[1:]):
-                    if a >= at:
-                        parts += [t[at:a], mark]
-                    at = max(at, b)
-                out.append("".join([*parts, t[at:]]) if parts else t)
-            return [pa.array(out, pa.string())]
+    return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))))
 
-        return step
 
-    out = append_columns(versions, {"text": F.col(f"`{text}`")}, [T.StructField("__masked", T.StringType())], start)
-    return out.select(*[F.col("__masked").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+def redact(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", n_chars: str | None = None, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """``versions`` with every secret in ``text`` replaced by ``mark``, and the ledger's new rows.
+
+    All rows and columns stay, in the columns' order; a null text stays null.
+    Overlapping spans are masked as one. ``n_chars`` names a column that holds
+    the text's length and is to follow.
+    """
+    named = versions.withColumns({"__text": F.coalesce(F.col(f"`{text}`"), F.lit(""))}).withColumn("__blob", _address("__text"))
+    found, fresh = _with_spans(named, ledger, rules, [])
+    hit = F.size("__spans") > 0
+    found = found.withColumn("__masked", F.when(hit, _masked("__text", "__spans", mark)).otherwise(F.col(f"`{text}`")))
+    new = {text: F.col("__masked")} | ({n_chars: F.when(hit, F.length("__masked").cast("long")).otherwise(F.col(f"`{n_chars}`"))} if n_chars else {})
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in versions.columns]), fresh

@@ -13,8 +13,12 @@ from tidemark.llm.decontamination import annotate_contamination
 from tidemark.llm.fingerprints import edited_and_next
 from tidemark.llm.ledger import BASE_KINDS, joined, scan_versions
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import pseudonymize
+from tidemark.llm.quality import annotate_quality
+from tidemark.llm.quality import fit as fit_quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.toxicity import annotate_toxicity, fit
+from tidemark.llm.warc import captures_of_pages, resolve_revisits
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,39 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.select("record_id", "canonical", "resolution", "source_id", "payload", headers.alias("headers"))
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT *, 1700000000 + (page_id % 5000) * 60 AS s, md5(coalesce(html, '')) AS tag, sha256(coalesce(html, '')) AS sha FROM pages),
+r AS (
+  SELECT page_id * 4 AS record_id, url, s AS ts, 'response' AS kind, tag AS etag, 'text/html' AS ctype, 'd0' AS d, NULL AS vary, sha AS digest FROM p
+  UNION ALL SELECT page_id * 4 + 1, url, s + 3600, 'revisit', 'W/' || tag, NULL, 'd1', NULL, NULL FROM p
+  UNION ALL SELECT page_id * 4 + 2, url || '#later', s + 9 * 86400, 'revisit', CASE WHEN page_id % 7 = 0 THEN 'other' ELSE tag END, 'text/plain', 'd2', 'accept', NULL FROM p
+  UNION ALL SELECT page_id * 4 + 3, url, s - 2 * 86400, 'revisit', NULL, NULL, 'd3', NULL, NULL FROM p),
+u AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u0 FROM r),
+v AS (SELECT *, lower(regexp_extract(u0, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(u0, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM u),
+w AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^[^@]*@', ''), '^www\.', '') AS host,
+        regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(?:index|default)\.html?$', '/'), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+          lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)(?:=|$)'))), '&') AS q FROM v),
+c AS (SELECT *, CASE scheme WHEN 'https' THEN regexp_replace(host, ':443$', '') WHEN 'http' THEN regexp_replace(host, ':80$', '') ELSE host END
+        || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM w),
+f AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'digest': digest} END IGNORE NULLS)
+        OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM c),
+g AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN src IS NULL OR canonical IS NULL THEN 'orphan'
+        WHEN etag IS NULL OR regexp_replace(etag, '^W/', '') = src.etag THEN 'resolved' ELSE 'stale' END AS resolution FROM f),
+h AS (SELECT *, CASE WHEN resolution = 'resolved' THEN 'text/html' ELSE ctype END AS ct, CASE WHEN resolution = 'resolved' THEN coalesce(etag, src.etag) ELSE etag END AS et FROM g)
+SELECT record_id, canonical, resolution, CASE WHEN kind = 'response' THEN record_id ELSE src.id END AS source_id,
+       CASE WHEN kind = 'response' THEN digest WHEN resolution = 'resolved' THEN src.digest END AS payload,
+       concat_ws(';', 'content-type=' || ct, 'date=' || d, 'etag=' || et, 'vary=' || vary) AS headers
+FROM h
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -74,6 +111,12 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return annotate_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -100,20 +143,29 @@ FROM g GROUP BY conv_id
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is fixed so that the result is; who uses the operator keeps one secret."""
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), b"tidemark query")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
         "op4_fingerprints": op4_fingerprints,
+        "op5_revisits": op5_revisits,
         "op6_simhash": op6_simhash,
+        "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_chat": op9_chat,
+        "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op5_revisits": OP5_SQL,
         "op9_chat": OP9_SQL,
     }

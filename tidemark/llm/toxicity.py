@@ -188,6 +188,17 @@ def annotate_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
     Only the text is scored. Null and empty texts are scored as one empty
     window. Columns of these names are replaced; no shuffle.
     """
+    scored = _scored(docs, model, text, "score")
+    return scored.withColumns({"held_out": held_out(F.col(f"`{doc_id}`")), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their own columns only."""
+    model = fit(docs, labels, doc_id=doc_id, text=text, settings=settings)
+    return _scored(docs, model, text, "__toxicity").where("__toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _scored(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -196,13 +207,4 @@ def annotate_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
 
         return step
 
-    scored = append_columns(docs, {"text": F.col(f"`{text}`")}, [T.StructField("score", T.DoubleType())], start)
-    return scored.withColumns({"held_out": held_out(F.col(f"`{doc_id}`")), "predicted": (F.col("score") >= 0.5).cast("int")})
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns only."""
-    model = fit(docs, labels, doc_id=doc_id, text=text, settings=settings)
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return annotate_toxicity(packed, model).where("predicted = 0").select("row.*")
+    return append_columns(docs, {"text": F.col(f"`{text}`")}, [T.StructField(name, T.DoubleType())], start)
