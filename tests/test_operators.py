@@ -153,6 +153,12 @@ def test_log_lines_of_other_forms(spark):
     assert (r.level, r.event, r.file) == ("INFO", "file_unchanged", "a - {b}")
 
 
+def test_session_reports(spark):
+    body = {"event": "download_completed", "summary": {"summary": {"total_files": 2, "successful": 1, "failed": 1, "total_bytes_transferred": 5, "total_changed_chunks": 1, "timestamp": "t"}, "details": []}}
+    lines = spark.createDataFrame([("2024-01-01 00:00:00,000 - INFO - " + json.dumps(body),)], "value string")
+    assert tuple(logs.session_reports(logs.log_parse(lines)).first()) == ("2024-01-01 00:00:00,000", 2, 1, 1, 5, 1, "t")
+
+
 def test_reassembly_is_by_position(spark):
     parts = spark.createDataFrame([("f", 10, b"c"), ("f", 0, b"a"), ("f", 9, b"b")], "path string, start bigint, piece binary")
     assert bytes(sync.reassemble(parts).first().content) == b"abc"

@@ -31,10 +31,11 @@ VERSION_MAP = T.MapType(T.StringType(), T.ArrayType(T.StructType(VERSION.fields[
 PROFILES = T.MapType(T.StringType(), _schema("include STRINGS, exclude STRINGS"))
 LISTING_ENTRY = _schema("name STRING, type STRING")
 PROGRESS = _schema("name STRING, remote_item STRING, local_path STRING, downloaded BIGINT, total_size BIGINT")
-#: All fields that any logged event has; each event has some.
+#: All fields that any logged event has; each event has some. The completed session's ``summary`` is the whole report.
 LOG_EVENT = _schema(
-    "event STRING, file STRING, path STRING, error STRING, traceback STRING, attempt INT, wait_seconds INT, type STRING, remote_path STRING, local_path STRING, max_workers INT, chunk_size BIGINT",
+    "event STRING, file STRING, path STRING, error STRING, traceback STRING, attempt INT, wait_seconds INT, type STRING, icloud_path STRING, local_path STRING, max_workers INT, chunk_size BIGINT",
     contents=T.ArrayType(LISTING_ENTRY),
+    summary=T.StructType([T.StructField("summary", SUMMARY), T.StructField("details", T.ArrayType(STATUS))]),
 )
 
 CHUNK_SIZE = 1024 * 1024

@@ -36,3 +36,12 @@ def retryable_errors(events: DataFrame) -> DataFrame:
 def retry_waits(events: DataFrame) -> DataFrame:
     retries = events.where("event = 'connection_retry'")
     return retries.select("file", "attempt", retry_wait(F.col("error"), F.col("attempt")).alias("wait_seconds"))
+
+
+def session_reports(events: DataFrame) -> DataFrame:
+    """The summary rows of completed sessions."""
+    return events.where("event = 'download_completed'").select("logged_at", "summary.summary.*")
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    return events.groupBy("event", "level").agg(F.count(F.lit(1)).alias("events"))

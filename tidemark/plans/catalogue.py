@@ -240,6 +240,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "real_transfers": (partial(_on_events, logs.real_transfers), sql("remote local plan", """SELECT count(*) AS transfers FROM plan WHERE action <> 'unchanged' AND doc_id % 13 <> 0""")),
     "retryable_errors": (partial(_on_events, logs.retryable_errors), sql("remote local plan events_logged", """SELECT event, file, error, error <> 'Permission denied' AS retryable FROM logged WHERE error IS NOT NULL""")),
     "retry_wait": (partial(_on_events, logs.retry_waits), sql("remote local plan events_logged", """SELECT file, attempt, CAST(CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 2 END AS BIGINT) AS wait_seconds FROM logged WHERE event = 'connection_retry'""")),
+    "event_counts": (partial(_on_events, logs.event_counts), sql("remote local plan events_logged", """SELECT event, level, count(*) AS events FROM logged GROUP BY event, level""")),
     "plugin_index": (plugin_index, sql("remote local plan results", """SELECT string_split(path, '/')[-1] AS name, '/local/' || path AS local_path FROM results WHERE status = 'completed'""")),
     "incremental_sync": (incremental_sync, sql("remote local plan results", """SELECT path, p.size, action, p.size AS bytes FROM plan p JOIN results USING (path) WHERE status = 'failed'""")),
     "progress_stream": (progress_stream, """SELECT user_id AS key, arg_max(event_id, (ts, event_id)) AS position FROM events GROUP BY user_id"""),
