@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,7 +41,8 @@ def found(df):
 @given(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=12), st.binary(max_size=300).map(lambda b: bytes(97 + x % 3 for x in b)))
 def test_search_finds_all(patterns, text):
     patterns = list(dict.fromkeys(patterns))
-    at, which = d.WuManber(patterns, block=3).find(text)
+    lengths = np.array([len(p) for p in patterns])
+    at, which = d.WuManber(b"".join(patterns), np.cumsum(lengths) - lengths, lengths, block=3).find(text)
     want = sorted((m.start(), i) for i, p in enumerate(patterns) for m in re.finditer(b"(?=" + p + b")", text))
     assert sorted(zip(at.tolist(), which.tolist(), strict=True)) == want
 

@@ -33,13 +33,6 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TO_WORDS).split() if text else []
 
 
-def item_windows(text: bytes | None, window: int) -> list[bytes]:
-    """Each ``window`` consecutive words, with a space around every word; all words if they are fewer."""
-    w = words(text)
-    n = min(window, len(w))
-    return [b" " + b" ".join(w[i : i + n]) + b" " for i in range(len(w) - n + 1)] if w else []
-
-
 @dataclass
 class _Class:
     """The tables for patterns of similar length."""
@@ -54,35 +47,36 @@ class _Class:
 
 
 class WuManber:
-    """Finds every occurrence of every pattern. Memory grows with the patterns' bytes."""
+    """Finds every occurrence of every pattern: slices of ``blob``, given by start and length.
 
-    def __init__(self, patterns: list[bytes], block: int = 8):
-        self.patterns = patterns
+    Besides ``blob`` it holds about 40 bytes a pattern and a table of skips.
+    """
+
+    def __init__(self, blob: bytes, starts: np.ndarray, lengths: np.ndarray, block: int = 8):
+        self.blob, self.starts, self.lengths = blob, starts, lengths
         self.classes: list[_Class] = []
-        by: dict[int, list[int]] = {}
-        for i, p in enumerate(patterns):
-            by.setdefault(len(p).bit_length(), []).append(i)
-        for _, ids in sorted(by.items()):
-            self.classes.append(self._tables(ids, block))
-
-    def _tables(self, ids: list[int], block: int) -> _Class:
-        m = min(len(self.patterns[i]) for i in ids)
+        kind = np.frexp(lengths.astype(float))[1]
+        padded = np.frombuffer(blob + bytes(8), np.uint8)
+        blocks = np.ndarray((len(blob) + 1,), "<u8", padded, 0, (1,))
+        for k in np.unique(kind).tolist():
+            self.classes.append(self._tables(np.flatnonzero(kind == k), blocks, block))
+
+    def _tables(self, ids: np.ndarray, blocks: np.ndarray, block: int) -> _Class:
+        m = int(self.lengths[ids].min())
         block = min(block, m)
         mask = np.uint64((1 << 8 * block) - 1)
-        heads = np.frombuffer(b"".join(self.patterns[i][:m] for i in ids) + bytes(8), np.uint8)
-        every = np.ndarray((len(ids) * m,), "<u8", heads, 0, (1,))[:]
-        starts = np.arange(len(ids), dtype=np.int64) * m
+        starts = self.starts[ids]
         size = min(24, max(12, (len(ids) * (m - block + 1) * 4).bit_length()))
         bits = np.uint64(64 - size)
         shift = np.full(1 << size, min(255, m - block + 1), np.uint8)
         for j in range(m - block + 1):
             back = m - block - j
             if back <= 255:
-                h = ((every[starts + j] & mask) * _MIX) >> bits
+                h = ((blocks[starts + j] & mask) * _MIX) >> bits
                 np.minimum.at(shift, h, np.uint8(back))
-        keys = self._key(every[starts] & mask, every[starts + m - block] & mask)
+        keys = self._key(blocks[starts] & mask, blocks[starts + m - block] & mask)
         order = np.argsort(keys, kind="stable")
-        return _Class(m, block, mask, bits, shift, keys[order], np.array(ids, np.int64)[order])
+        return _Class(m, block, mask, bits, shift, keys[order], ids[order])
 
     @staticmethod
     def _key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -104,7 +98,8 @@ class WuManber:
             for start, a, b in zip((ends[some] - c.m).tolist(), low[some].tolist(), high[some].tolist(), strict=True):
                 for k in range(a, b):
                     i = int(c.ids[k])
-                    if text.startswith(self.patterns[i], start):
+                    s = int(self.starts[i])
+                    if text.startswith(self.blob[s : s + int(self.lengths[i])], start):
                         found_at.append(start)
                         found.append(i)
         return np.array(found_at, np.int64), np.array(found, np.int64)
@@ -132,13 +127,36 @@ class WindowIndex:
     """Benchmark windows, their search tables, and the items that have each window."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in item_windows(text, window):
-                owners.setdefault(w, set()).add(item)
-        self.owners = [frozenset(v) for v in owners.values()]
-        self.n_words = np.array([p.count(b" ") - 1 for p in owners], np.int64)
-        self.search = WuManber(list(owners))
+        self.items = [i for i, _ in items]
+        blob, at = [], 0
+        found: dict[bytes, int] = {}
+        starts, lengths, n_words, owned, owner = [], [], [], [], []
+        for k, (_, text) in enumerate(items):
+            w = words(text)
+            if not w:
+                continue
+            line = b" " + b" ".join(w) + b" "
+            gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
+            n = min(window, len(w))
+            for a, b in zip(gaps, gaps[n:], strict=False):
+                i = found.setdefault(line[a : b + 1], len(starts))
+                if i == len(starts):
+                    starts.append(at + a)
+                    lengths.append(b + 1 - a)
+                    n_words.append(n)
+                owned.append(i)
+                owner.append(k)
+            blob.append(line)
+            at += len(line)
+        self.n_words = np.array(n_words, np.int64)
+        # The items of each window, one after another.
+        order = np.argsort(np.array(owned, np.int64), kind="stable")
+        self.owner = np.array(owner, np.int64)[order]
+        self.first = np.searchsorted(np.array(owned, np.int64)[order], np.arange(len(starts) + 1))
+        self.search = WuManber(b"".join(blob), np.array(starts, np.int64), np.array(lengths, np.int64))
+
+    def owners(self, pattern: int) -> set[str]:
+        return {self.items[k] for k in self.owner[self.first[pattern] : self.first[pattern + 1]].tolist()}
 
     def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """For each text: its number of words, the hit word ranges (end exclusive, merged), the items found."""
@@ -164,7 +182,7 @@ class WindowIndex:
                 merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
             else:
                 merged.append((x, y))
-        return merged, set().union(*(self.owners[p] for p in set(pattern.tolist())))
+        return merged, set().union(*map(self.owners, set(pattern.tolist())))
 
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
@@ -187,7 +205,7 @@ def annotate_contamination(
     item_text: str = "text",
     window: int = 13,
     min_share: tuple[int, int] = (1, 20),
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 8 << 20,
     prefix: str = "",
 ) -> DataFrame:
     """Every row of ``docs``, with what it shares with the benchmark ``items``.
