@@ -84,15 +84,35 @@ def _grams(text: bytes) -> set[bytes]:
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
-    """Pieces of words that are typical of toxic texts, the most frequent last."""
+    """Pieces of words that are typical of toxic texts, the most frequent last.
+
+    A byte gram is typical if it is in ``least_docs`` toxic texts or more, after
+    as many different words and a fifth of its texts at least (a passage that
+    many texts repeat is no sign), with odds above ``least_odds``, and if that is no chance: the likelihood ratio
+    statistic must exceed what the likeliest of so many grams would have.
+    """
     counts = [Counter(), Counter()]
     for y, texts in enumerate((ordinary, toxic)):
         for t in texts:
             counts[y].update(_grams(t))
-    base = np.log((len(toxic) + 1) / (len(ordinary) + 1))
-    hot = {g for g, a in counts[1].items() if a >= s.least_docs and np.log((a + 0.5) / (counts[0][g] + 0.5)) - base > s.least_odds}
+    n0, n1 = len(ordinary), len(toxic)
+    base, chance = np.log((n1 + 1) / (n0 + 1)), 2 * np.log(max(2, len(counts[1]))) + 4
+
+    def evidence(a: int, b: int) -> float:
+        e = (a + b) * n1 / (n0 + n1)
+        return 2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0))
+
+    hot = {g for g, a in counts[1].items() if a >= s.least_docs and np.log((a + 0.5) / (counts[0][g] + 0.5)) - base > s.least_odds and evidence(a, counts[0][g]) > chance}
+    pairs = Counter(p for t in toxic for w in [t.lower().split()] for p in zip([b"", *w], w, strict=False))
+    after: dict[bytes, set[bytes]] = {g: set() for g in hot}
+    for before, word in pairs:
+        w = b" " + word + b" "
+        for i in range(len(w) - GRAM + 1):
+            if (g := w[i : i + GRAM]) in after:
+                after[g].add(before)
+    hot = {g for g in hot if len(after[g]) >= max(s.least_docs, counts[1][g] / 5)}
     runs: Counter = Counter()
-    for word, n in Counter(w for t in toxic for w in t.lower().split()).items():
+    for (_, word), n in pairs.items():
         w, end, begin = b" " + word + b" ", -1, 0
         for i in range(len(w) - GRAM + 1):
             if w[i : i + GRAM] in hot:
