@@ -12,6 +12,7 @@ place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -60,9 +61,8 @@ class WordTokenizer:
     def _learn(self, new: set[bytes]) -> None:
         letters, words = self.letters, list(new)
         found = _WORD.findall(b"\n".join(words).decode("utf-8", "replace").lower())
-        plain = [(w, p, m) for w, (p, m) in zip(words, found, strict=True) if p]
         other = [w for w, (p, _) in zip(words, found, strict=True) if not p]
-        fresh = list({p for _, p, _ in plain}.difference(letters))
+        fresh = list({p for p, _ in found}.difference(letters))
         for i in range(0, len(fresh), 8192):
             some = fresh[i : i + 8192]
             text = " 0 ".join(some).encode().decode("latin-1").translate(self.shown)
@@ -71,9 +71,10 @@ class WordTokenizer:
             cuts = (4 * np.flatnonzero(ids == self.gap)).tolist()
             raw = ids.tobytes()
             letters.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
-        marks = list({m for _, _, m in plain}.difference(letters))
+        marks = list({m for _, m in found}.difference(letters))
         letters.update(zip(marks, self._ids(marks), strict=True))
-        self.words.update([(w, letters[p] + letters[m]) for w, p, m in plain])
+        # Words of another form have no letters here; their ids follow.
+        self.words.update(zip(words, [letters[p] + letters[m] if m else letters[p] for p, m in found], strict=True))
         self.words.update(zip(other, self._ids([w.decode("utf-8", "replace") for w in other]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -84,23 +85,25 @@ class WordTokenizer:
         out: list[bytes] = []
         for a, b in slices([len(t or b"") for t in texts], _AT_ONCE):
             split = [t.split() if t else [] for t in texts[a:b]]
-            seen: set[bytes] = set().union(*split)
-            new = seen.difference(self.words)
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words.clear()
+            known = self.words
+            # Looking a word up costs most, so each is looked up once, and again only if it was new.
+            got = [list(map(known.get, w)) for w in split]
+            new = {x for w, ids in zip(split, got, strict=True) for x, i in zip(w, ids, strict=True) if i is None}
+            if len(known) + len(new) > CACHED_WORDS:
+                known.clear()
                 self.letters.clear()
                 self.letters[""] = b""
-                new = seen
             if new:
                 self._learn(new)
-            known = self.words
-            out += [b"".join([known[x] for x in w]) for w in split]
+                got = [[known[x] if i is None else i for x, i in zip(w, ids, strict=True)] for w, ids in zip(split, got, strict=True)]
+            out += map(b"".join, got)
         return out
 
 
 @lru_cache(maxsize=1)
 def tokenizer_of_process(path: str) -> WordTokenizer:
     """One tokenizer a worker process: the tasks that it runs one after another share the words."""
+    gc.set_threshold(200_000, 50, 100)  # words and ids have no cycles, and come by the million
     return WordTokenizer(path)
 
 
