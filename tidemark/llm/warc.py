@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import materialize
+
 #: Headers that a not-modified answer may update in the stored response, and parameters that say only where a visitor came from.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = ("utm_[a-z]+", "gclid", "fbclid", "ref")
@@ -89,7 +91,8 @@ def resolve_revisits(records: DataFrame, *, slice_seconds: int = 86_400) -> Data
     r = records.select("record_id", "url", "at", "kind", lower_keys(F.col("headers")).alias("headers"), "digest")
     r = r.withColumn("canonical", canonical_url(F.col("url"))).withColumn("slice", F.floor(F.unix_timestamp("at") / slice_seconds))
     full = F.when((F.col("kind") == "response") & F.col("canonical").isNotNull() & F.col("at").isNotNull(), F.struct("at", "record_id", "headers", "digest"))
-    r = r.withColumn("full", full)
+    # Read by four branches: written once, without what the records' source is computed from.
+    r = materialize(r.withColumn("full", full), "records")
     joinable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
     # The latest response of each slice, and for each slice that of the ones before it.
     ends = r.where(joinable).groupBy("canonical", "slice").agg(F.max(F.when(F.col("full").isNotNull(), F.struct("at", "record_id"))).alias("end"))
