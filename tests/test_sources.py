@@ -147,6 +147,9 @@ class Recorder(hooks.Hook):
     def on_authenticated(self, client, **more):
         self.told.append("auth")
 
+    def on_list_contents(self, path, contents, **more):
+        self.told.append((path, [c["name"] for c in contents]))
+
     def after_download(self, remote_item, local_path, success, **more):
         self.told.append(f"after_{success}")
 
@@ -214,7 +217,9 @@ def test_command_line(spark, tmp_path):
         (at / "same.txt").write_text("s")
     (remote / "d" / "new.txt").write_text("n" * 1048576)
     out = io.StringIO()
-    assert cli.run(spark, [f"folder:{remote}", "--list", "/d"], out) == 0
+    rec = Recorder()
+    assert cli.run(spark, [f"folder:{remote}", "--list", "/d"], out, hooks.Registry([rec])) == 0
+    assert rec.told == [("/d", ["new.txt", "same.txt"])]
     assert out.getvalue() == "file\tnew.txt\nfile\tsame.txt\n"
     out = io.StringIO()
     assert cli.run(spark, [f"folder:{remote}", f"folder:{here}"], out) == 0

@@ -10,6 +10,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.hooks import Registry
 from tidemark.model import CHUNK_SIZE, RunConfig
 from tidemark.operators import filters, inventory, sync
 from tidemark.sources.local import listing
@@ -35,15 +36,19 @@ def _read(spark: SparkSession, at: str) -> DataFrame:
     return listing(spark, at.removeprefix("folder:")) if at.startswith("folder:") else spark.read.parquet(at)
 
 
-def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
+def run(spark: SparkSession, argv: list[str], out=sys.stdout, hooks: Registry | None = None) -> int:
     a = parser().parse_args(argv)
     RunConfig(workers=a.max_workers, retries=a.max_retries, chunk_size=a.chunk_size)
     items = _read(spark, a.remote)
     # Listing the shared roots comes before listing a path, and that before a plan.
     if a.list_shared or a.list is not None:
         rows = inventory.list_shared_roots(items) if a.list_shared else inventory.list_children(items, a.list)
-        for r in rows.orderBy("name").toLocalIterator():
-            print(f"{r.type}\t{r.name}", file=out)
+        contents = [{"name": r.name, "type": r.type} for r in rows.orderBy("name").toLocalIterator()]
+        for c in contents:
+            print(f"{c['type']}\t{c['name']}", file=out)
+        # Hooks are told of a folder's contents, but not of nothing nor of shared roots.
+        if hooks is not None and contents and not a.list_shared:
+            hooks.dispatch("on_list_contents", a.list, contents)
         return 0
     if a.local is None:
         print("a local side is needed", file=sys.stderr)
