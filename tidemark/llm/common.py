@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: About as many bytes of a batch are worked on at a time.
+PART_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,10 +83,14 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
-            out = step([batch.column(n + i) for i in range(batch.num_columns - n)])
-            arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*batch.schema.names[:n], *types.names])
+        for whole in batches:
+            # Rows become Python objects a part of a batch at a time.
+            rows = max(1, whole.num_rows * PART_BYTES // max(PART_BYTES, whole.nbytes))
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                out = step([batch.column(n + i) for i in range(batch.num_columns - n)])
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*batch.schema.names[:n], *types.names])
 
     return work.mapInArrow(run, schema)
 
