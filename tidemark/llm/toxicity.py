@@ -9,7 +9,7 @@ calibrated on labelled documents.
 
 Toxic documents consist of ordinary prose for the most part. What the toxic
 dictionary is trained on is therefore the toxic documents' distinctive text:
-the runs of byte 5-grams that many more toxic than ordinary documents hold.
+the runs of 5-character grams that many more toxic than ordinary documents hold.
 """
 
 from __future__ import annotations
@@ -78,15 +78,20 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _grams(text: bytes) -> set[bytes]:
-    t = b" " + b" ".join(text.lower().split()) + b" "
-    return {g for i in range(len(t) - GRAM + 1) if b" " not in (g := t[i : i + GRAM])[1:-1]}
+def _plain(text: bytes) -> list[str]:
+    """Words as windows have them (only A-Z lower-cased), as characters."""
+    return text.lower().decode("utf-8", "replace").split()
+
+
+def _grams(text: bytes) -> set[str]:
+    t = f" {' '.join(_plain(text))} "
+    return {g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])[1:-1]}
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
     """Pieces of words that are typical of toxic texts, the most frequent last.
 
-    A byte gram is typical if it is in ``least_docs`` toxic texts or more, after
+    A run of five characters is typical if it is in ``least_docs`` toxic texts or more, after
     as many different words and a fifth of its texts at least (a passage that
     many texts repeat is no sign), with odds above ``least_odds``, and if that is no chance: the likelihood ratio
     statistic must exceed what the likeliest of so many grams would have.
@@ -103,17 +108,17 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[
         return 2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0))
 
     hot = {g for g, a in counts[1].items() if a >= s.least_docs and np.log((a + 0.5) / (counts[0][g] + 0.5)) - base > s.least_odds and evidence(a, counts[0][g]) > chance}
-    pairs = Counter(p for t in toxic for w in [t.lower().split()] for p in zip([b"", *w], w, strict=False))
-    after: dict[bytes, set[bytes]] = {g: set() for g in hot}
+    pairs = Counter(p for t in toxic for w in [_plain(t)] for p in zip(["", *w], w, strict=False))
+    after: dict[str, set[str]] = {g: set() for g in hot}
     for before, word in pairs:
-        w = b" " + word + b" "
+        w = f" {word} "
         for i in range(len(w) - GRAM + 1):
             if (g := w[i : i + GRAM]) in after:
                 after[g].add(before)
     hot = {g for g in hot if len(after[g]) >= max(s.least_docs, counts[1][g] / 5)}
     runs: Counter = Counter()
     for (_, word), n in pairs.items():
-        w, end, begin = b" " + word + b" ", -1, 0
+        w, end, begin = f" {word} ", -1, 0
         for i in range(len(w) - GRAM + 1):
             if w[i : i + GRAM] in hot:
                 if i >= end:
@@ -123,7 +128,7 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[
                 end = i + GRAM
         if end > 0:
             runs[w[begin:end]] += n
-    return [r for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 3]
+    return [r.encode() for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 3]
 
 
 @dataclass
