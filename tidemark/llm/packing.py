@@ -249,7 +249,7 @@ class Places:
         return self.base[i] + rank, self.at[i]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, salt_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, salt_rows: int = 5_000) -> DataFrame:
     """A row for each piece of each row of ``docs``, with ``sequence_id`` and ``offset``.
 
     Columns: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``,
