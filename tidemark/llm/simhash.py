@@ -15,7 +15,7 @@ with many homes is split, its homes dealt out and its visitors repeated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,13 +248,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each group, the row with the smallest id stays.
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` but for the near-duplicates that ``find`` groups: of each group, the row with the smallest id stays.
 
     Rows of one id that fall in one group are repeated rows, and one of them
     stays. Rows whose id is null stay: nothing tells them apart.
     """
-    found = materialize(near_duplicates(docs, doc_id, text, shingle), "groups")
+    found = materialize(find(docs, doc_id, text, shingle), "groups")
     gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
     twice = materialize(twice, "repeated")
