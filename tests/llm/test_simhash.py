@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import xxhash
 
-from tidemark.llm import simhash
+from tidemark.llm import resemblance, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -95,3 +95,11 @@ def test_empty_and_clashing(spark):
     kept = simhash.keep_one_each(df)
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text that is unique"), (5, "and a third one with no copy"), (5, "and a third one with no copy"), (6, None), (6, "last")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for find in (simhash.with_roots, resemblance.near_duplicates):
+        kept = sorted(map(tuple, simhash.keep_one_each(df, find=find).collect()), key=str)
+        assert kept == sorted([rows[0], rows[2], rows[3], *rows[5:]], key=str)

@@ -236,30 +236,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated ids and rows are kept; an empty table gives no rows.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = materialize(with_fingerprint(slim, shingle=shingle).select("doc_id", "fp"), "fingerprints")
+    return _grouped(slim, shingle).select("doc_id", "fp", "component_id")
+
+
+def with_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """The same groups, for ``keep_one_each``: ``doc_id``, ``text_hash`` and ``root`` of each row."""
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return _grouped(slim, shingle).select("doc_id", "text_hash", "root")
+
+
+def _grouped(slim: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``slim`` but for the text, and ``fp``, ``root`` and ``component_id``."""
+    prints = materialize(with_fingerprint(slim, shingle=shingle).drop("text"), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     member = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     # A root with few fingerprints is the rule, yet one may have very many: only linked ones are joined.
-    linked = member.join(roots.select("root").distinct(), "root", "left_semi").join(least, "root").select("fp", "component_id")
-    single = member.join(roots.select("root").distinct(), "root", "left_anti").select("fp", F.col("least").alias("component_id"))
+    linked = member.join(roots.select("root").distinct(), "root", "left_semi").join(least, "root").select("fp", "root", "component_id")
+    single = member.join(roots.select("root").distinct(), "root", "left_anti").select("fp", "root", F.col("least").alias("component_id"))
     of = materialize(linked.unionByName(single), "components")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of, "fp")
 
 
-def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, find: Callable[..., DataFrame] = with_roots) -> DataFrame:
     """The rows of ``docs`` but for the near-duplicates that ``find`` groups: of each group, the row with the smallest id stays.
 
-    Rows of one id that fall in one group are repeated rows, and one of them
-    stays. Rows whose id is null stay: nothing tells them apart.
+    Rows are told apart by id and text: an id may be in several groups with
+    different texts, and each group keeps its own. Rows of one id and text are
+    repeated rows, and one of them stays. Rows whose id is null stay: nothing
+    tells them apart.
     """
-    found = materialize(find(docs, doc_id, text, shingle), "groups")
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    twice = materialize(twice, "repeated")
-    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    found = materialize(find(docs, doc_id, text, shingle).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "root"), "groups")
+    row = F.struct("doc_id", "text_hash")
+    first = found.groupBy("root").agg(F.min(row).alias("first"))
+    key = [F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")]
+    gone = found.join(first, "root").where(row != F.col("first")).select(*key).distinct()
+    twice = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "repeated")
+    same = (F.col(f"`{doc_id}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__text"))
+    kept = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, F.col(f"`{doc_id}`") == F.col("__gone"), "left_semi").dropDuplicates([doc_id])
-    return kept.join(twice, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti").unionByName(once)
+    once = kept.join(twice, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(twice, same, "left_anti").unionByName(once)
