@@ -48,3 +48,11 @@ def test_few_labels_nulls_and_clashes(spark, labelled):
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert t.annotate_toxicity(docs.limit(0), t.fit(docs, labels)).count() == 0
     assert t.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_scores_have_the_natural_rate_above_the_caps(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(500)]
+    docs = spark.createDataFrame([(i, "the same words in all") for i, _ in rows], "doc_id long, text string")
+    model = t.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), settings=t.Settings(toxic_rows=30, ordinary_rows=30))
+    share = np.mean([y for i, y in rows if zlib.crc32(str(i).encode()) % 5])
+    assert abs(model.score([b"the same words in all"])[0] - share) < 0.03

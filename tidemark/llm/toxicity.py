@@ -160,8 +160,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def train(rows: list[tuple[bytes, int]], s: Settings = Settings()) -> Model:
-    """A model from labelled texts. Without rows of both classes, every score is the share of toxic rows (0 if none)."""
+def train(rows: list[tuple[bytes, int]], s: Settings = Settings(), stands_for: tuple[float, float] = (1, 1)) -> Model:
+    """A model from labelled texts; an ordinary and a toxic row stand for so many in the calibration. Without rows of both classes, every score is the share of toxic rows (0 if none)."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     if not toxic or not ordinary:
         return Model(s, prior=float(bool(toxic)))
@@ -174,11 +174,12 @@ def train(rows: list[tuple[bytes, int]], s: Settings = Settings()) -> Model:
     x, y = model.features(t for t, _ in rows), np.array([y for _, y in rows], float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
-    w = np.zeros(a.shape[1])
+    r = np.where(y > 0, stands_for[1], stands_for[0])
+    r, w = r / r.mean(), np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(w.size)
-        w += np.linalg.solve(h, a.T @ (y - p) - 0.1 * w)
+        h = (a * (r * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(w.size)
+        w += np.linalg.solve(h, a.T @ (r * (y - p)) - 0.1 * w)
     model.weights = w
     return model
 
@@ -199,12 +200,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
     rows: list[tuple[bytes, int]] = []
+    texts = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.octet_length("t").between(1, settings.row_bytes))
+    taken, bound = [0, 0], False
     for y, most in ((1, settings.toxic_rows), (0, settings.ordinary_rows)):
         some = known.where((F.col("y") > 0) == bool(y)).orderBy("h", "i").limit(2 * most)
-        texts = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.octet_length("t").between(1, settings.row_bytes))
         got = texts.join(F.broadcast(some), "i").orderBy("h", "i", "t").limit(most).select("i", "t").collect()
-        rows += [(t.encode("utf-8", "surrogatepass"), y) for t in {r.i: r.t for r in reversed(got)}.values()]
-    return train(rows, settings)
+        each = {r.i: r.t for r in reversed(got)}
+        rows += [(t.encode("utf-8", "surrogatepass"), y) for t in each.values()]
+        taken[y], bound = len(each), bound or len(got) >= most
+    if not bound or not all(taken):
+        return train(rows, settings)
+    # Each class was cut on its own: a row stands for its share of all that could have been taken.
+    able = texts.select("i").join(known, "i").groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.countDistinct("i").alias("n"))
+    n = {r.y: r.n for r in able.collect()}
+    return train(rows, settings, (n[0] / taken[0], n[1] / taken[1]))
 
 
 def annotate_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
