@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,13 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is chosen.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, where
+    there is one machine, a temporary folder is chosen if that is unset;
+    elsewhere it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -51,6 +55,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def name_of(df: DataFrame, name: str) -> str:
+    """The column of ``df`` that Spark means by ``name``, as it is spelled there; an error if there is none or more than one."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == name or not exact and c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} column {name!r} among {df.columns}")
+    return found[0]
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column that ``name_of`` finds."""
+    return F.col(quoted(name_of(df, name)))
+
+
+def quoted(name: str) -> str:
+    """A name as Spark reads it whatever its characters."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each of ``stems`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without a detour over ``str``."""
     return column.cast(pa.binary()).to_pylist()
@@ -77,7 +112,7 @@ def append_columns(
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
-    work = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"__in_{k}") for k, c in inputs.items()])
+    work = df.select(*[F.col(quoted(c)) for c in kept], *[c.alias(n) for n, c in zip(free_names(df, *(f"__in_{k}" for k in inputs)), inputs.values(), strict=True)])
     schema = T.StructType([*work.schema.fields[: len(kept)], *fields])
     n, types = len(kept), arrow_schema(fields)
 

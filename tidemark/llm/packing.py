@@ -13,6 +13,8 @@ place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import gc
+import json
+import operator
 import os
 import re
 import zlib
@@ -21,83 +23,192 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, materialize, slices, utf8
+from tidemark.llm.common import append_columns, column, materialize, slices
 
-#: Words whose ids a worker holds; beyond that it starts afresh. Bytes of text that are looked up at a time.
-CACHED_WORDS = 600_000
-_AT_ONCE = 1 << 20
-#: Lower-case Latin letters and marks after them, else nothing, for each line.
-_WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.+)$", re.M)
+#: Words whose ids a worker holds in each of two generations. Bytes of text that are looked up at a time.
+CACHED_WORDS = 400_000
+_AT_ONCE = 8 << 20
+#: Latin letters and ASCII marks after them, else nothing, for each line.
+_WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
+#: Texts whose ids must come out as the whole tokenizer's.
+_PROBES = ("hello world again", "It's\t42 o'clock,  she'll say\nNO!? don't", " élan ÀÉ naïve... ß ", "a\x0bb 中文 字 x1y2 <b> --- \r\n e\u0301", "internationalization ÿ Unverträglichkeit,")
+
+
+class Merges:
+    """Byte-pair merges of many words at a time, as array operations.
+
+    In each step every word that has a known pair has its first pair of the
+    least rank merged, so words of one length stay of one length until they are
+    done.
+    """
+
+    def __init__(self, model: dict, shown: dict[int, str]):
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[shown[b] + end] for b in range(256)], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.size, self.none = max(vocab.values()) + 1, len(pairs)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        # A slot holds the first pair that falls in it; others, few, are found by bisection.
+        slot = self._slot(keys)
+        self.key, self.rank = np.full(1 << 19, -1, np.int64), np.full(1 << 19, self.none, np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.key[slot[first]], self.rank[slot[first]] = keys[first], first
+        rest = np.setdiff1d(np.arange(keys.size), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.more_rank = np.append(keys[rest], np.iinfo(np.int64).max), np.append(rest, self.none)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.size + right
+        slot = self._slot(keys)
+        held = self.key[slot]
+        out = np.where(held == keys, self.rank[slot], self.none)
+        odd = np.nonzero((held != keys) & (held >= 0))
+        i = np.searchsorted(self.more, keys[odd])
+        out[odd] = np.where(self.more[i] == keys[odd], self.more_rank[i], self.none)
+        return out
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (no empty one) as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        by: dict[int, list[int]] = {}
+        for i, n in enumerate(map(len, words)):
+            by.setdefault(n, []).append(i)
+        for n, some in by.items():
+            for a in range(0, len(some), max(1, 1_000_000 // n)):
+                self._merge([words[i] for i in some[a : a + max(1, 1_000_000 // n)]], np.array(some[a : a + max(1, 1_000_000 // n)]), out)
+        return out
+
+    def _merge(self, words: list[bytes], who: np.ndarray, out: list[bytes]) -> None:
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        ids = self.inner[raw]
+        ids[:, -1] = self.final[raw[:, -1]]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while who.size:
+            width = ids.shape[1]
+            at = ranks.argmin(1) if width > 1 else np.zeros(who.size, np.int64)
+            best = ranks[np.arange(who.size), at] if width > 1 else np.full(who.size, self.none)
+            done = best == self.none
+            if done.any():
+                flat = ids[done].astype("<u4").tobytes()
+                for k, i in enumerate(who[done].tolist()):
+                    out[i] = flat[4 * width * k : 4 * width * (k + 1)]
+                go = ~done
+                ids, ranks, who, at, best = ids[go], ranks[go], who[go], at[go], best[go]
+                if not who.size:
+                    break
+            row, stay = np.arange(who.size), np.ones((who.size, width), bool)
+            stay[row, at + 1] = False
+            ids = ids[stay].reshape(who.size, width - 1)
+            ids[row, at] = self.made[best]
+            stay = np.ones((who.size, width - 1), bool)
+            stay[row, at] = False
+            ranks = ranks[stay].reshape(who.size, width - 2)
+            for near in (at - 1, at):
+                here = np.flatnonzero((near >= 0) & (near < width - 2))
+                j = near[here]
+                ranks[here, j] = self._ranks(ids[here, j], ids[here, j + 1])
 
 
 class WordTokenizer:
-    """Token ids of texts for a tokenizer that drops white space and joins nothing across it.
+    """Token ids of texts for a byte-pair tokenizer that drops white space and joins nothing across it.
+
+    A text's ids are those of its words between ASCII white space. The words of
+    a batch are split and numbered by Arrow, each different word is looked up
+    once, and the ids are gathered by the words' numbers. The letters of a new
+    word of Latin letters, and marks after them that are one token group of
+    their own, are merged as arrays, many words at a time; any other word goes
+    through the whole tokenizer. The ids are the same either way.
 
-    A text's ids are those of its words between ASCII white space, each of
-    which is looked up. A new word of Latin letters, and marks after it that
-    are one token group of their own, is split by the tokenizer's model alone,
-    many words at a time; any other goes through the whole tokenizer. The ids
-    are the same either way.
+    Words are held in two generations: when the young one is full it becomes
+    the old one, from which what is met again is taken back.
+
+    Other tokenizers (that keep white space, for one) raise ``ValueError``.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        (self.gap,) = self.whole.encode("0", add_special_tokens=False).ids
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: set[bytes]) -> None:
-        letters, words = self.letters, list(new)
-        found = _WORD.findall(b"\n".join(words).decode("utf-8", "replace").lower())
-        other = [w for w, (p, _) in zip(words, found, strict=True) if not p]
-        fresh = list({p for p, _ in found}.difference(letters))
-        for i in range(0, len(fresh), 8192):
-            some = fresh[i : i + 8192]
-            text = " 0 ".join(some).encode().decode("latin-1").translate(self.shown)
-            (got,) = self.model.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.gap)).tolist()
-            raw = ids.tobytes()
-            letters.update(zip(some, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
-        marks = list({m for _, m in found}.difference(letters))
-        letters.update(zip(marks, self._ids(marks), strict=True))
-        # Words of another form have no letters here; their ids follow.
-        self.words.update(zip(words, [letters[p] + letters[m] if m else letters[p] for p, m in found], strict=True))
-        self.words.update(zip(other, self._ids([w.decode("utf-8", "replace") for w in other]), strict=True))
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        try:
+            self.merges = Merges(model, {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
+            alike = self([t.encode() for t in _PROBES]) == self._ids(list(_PROBES))
+        except (KeyError, TypeError):
+            alike = False
+        if not alike:
+            raise ValueError(f"{path}: not a byte-pair tokenizer that drops white space and keeps words apart")
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of words that are not held."""
+        found = _WORD.findall(b"\n".join(new).decode("utf-8", "replace"))
+        runs = list(map(str.lower, map(operator.itemgetter(0), found)))
+        other = [w.decode("utf-8", "replace") for w, p in zip(new, runs, strict=True) if not p]
+        fresh = list(dict.fromkeys(runs))
+        if "" in fresh:
+            fresh.remove("")
+        letters = dict(zip(fresh, self.merges([p.encode() for p in fresh]), strict=True))
+        marks = list({m for _, m in found}.difference(self.marks))
+        if len(self.marks) > CACHED_WORDS:
+            self.marks = {"": b""}
+            marks = list({m for _, m in found} - {""})
+        self.marks.update(zip(marks, self._ids(marks), strict=True))
+        rest, after = iter(self._ids(other)), self.marks
+        return [(letters[p] + after[m] if m else letters[p]) if p else next(rest) for p, (_, m) in zip(runs, found, strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {b"": b""}, self.words
+        got = list(map(self.words.get, words))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            names = [words[i] for i in missing]
+            ids = list(map(self.older.get, names))
+            new = [i for i, x in enumerate(ids) if x is None]
+            if new:
+                for i, x in zip(new, self._learn([names[i] for i in new]), strict=True):
+                    ids[i] = x
+            self.words.update(zip(names, ids, strict=True))
+            for i, x in zip(missing, ids, strict=True):
+                got[i] = x
+        return got
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings or bytes; null is empty), one after another, and where each text's begin and the last's end."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        numbered = split.flatten().dictionary_encode()
+        ids = self._of_words(numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        taken = lists.take(numbered.indices)
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return taken.flatten().to_numpy(), taken.offsets.to_numpy()[first] - taken.offsets[0].as_py() if len(taken) else np.zeros(len(texts) + 1, np.int64)
+
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        out: list[bytes] = []
-        for a, b in slices([len(t or b"") for t in texts], _AT_ONCE):
-            split = [t.split() if t else [] for t in texts[a:b]]
-            known = self.words
-            # Looking a word up costs most, so each is looked up once, and again only if it was new.
-            got = [list(map(known.get, w)) for w in split]
-            new = {x for w, ids in zip(split, got, strict=True) for x, i in zip(w, ids, strict=True) if i is None}
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                self.letters.clear()
-                self.letters[""] = b""
-            if new:
-                self._learn(new)
-                got = [[known[x] if i is None else i for x, i in zip(w, ids, strict=True)] for w, ids in zip(split, got, strict=True)]
-            out += map(b"".join, got)
-        return out
+        ids, at = self.arrays(pa.array(texts, pa.large_binary()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -122,28 +233,41 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
         tokens = tokenizer_of_process(tokenizer)
 
         def step(columns):
-            out = []
-            for ids in tokens(utf8(columns[0])):
-                ids += last
-                parts = [(a // 4, ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)]
-                out.append([{"start": a, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p} for a, p in parts])
-            return [pa.array(out, type=kind)]
+            texts, sizes = columns[0], pc.fill_null(pc.binary_length(columns[0]), 0).to_pylist()
+            starts, lengths, sums, raw, ends = [], [], [], [], [0]
+            for a, b in slices(sizes, _AT_ONCE):
+                ids, at = tokens.arrays(texts.slice(a, b - a))
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    n = y - x + 1
+                    for first in range(0, n, capacity):
+                        long = min(capacity, n - first)
+                        own = view[4 * (x + first) : 4 * min(x + first + long, y)]
+                        crc = zlib.crc32(own)
+                        starts.append(first)
+                        lengths.append(long)
+                        sums.append(zlib.crc32(last, crc) if first + long == n else crc)
+                        if with_ids:
+                            raw.append(bytes(own) + last if first + long == n else bytes(own))
+                    ends.append(len(starts))
+            fields = [pa.array(x, pa.int64()) for x in (starts, lengths, sums)] + [pa.array(raw, pa.binary())] * with_ids
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type))).cast(kind)]
 
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(pieces.dataType)
         return step
 
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    slim = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("__text"))
     out = append_columns(slim, {"text": F.col("__text")}, [pieces], start).drop("__text")
     return out.select("doc_id", F.posexplode("__pieces").alias("piece", "p")).select("doc_id", "piece", "p.*")
 
 
-def enumerate_patterns(counts: np.ndarray, most: int = 60_000) -> np.ndarray:
-    """Patterns of one, two and three lengths that fill a sequence, of lengths that occur: rows of lengths, 0 where none.
+def enumerate_patterns(counts: np.ndarray) -> np.ndarray:
+    """All patterns of one, two and three lengths that fill a sequence, of lengths that occur: rows of lengths, 0 where none.
 
-    ``counts[n]`` pieces have the length ``n``; the last is the capacity. Of
-    more than ``most`` patterns, those stay whose rarest length is most frequent.
+    ``counts[n]`` pieces have the length ``n``; the last is the capacity, whose
+    square over 12 bounds the patterns.
     """
     full = counts.size - 1
     have = np.flatnonzero(counts)
@@ -153,9 +277,7 @@ def enumerate_patterns(counts: np.ndarray, most: int = 60_000) -> np.ndarray:
         b = have[(have >= a) & (have <= (full - a) // 2)]
         b = b[counts[full - a - b] > 0]
         rows.append(np.stack([np.full(b.size, a), b, full - a - b], 1))
-    p = np.concatenate(rows)
-    rarest = np.where(p > 0, counts[p], np.iinfo(np.int64).max).min(1)
-    return p[np.argsort(-rarest, kind="stable")[:most]]
+    return np.concatenate(rows)
 
 
 def fit_counts(counts: np.ndarray, patterns: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -255,8 +377,9 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     Columns: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset``; a sequence has no gaps from 0. Null and empty
     texts are a piece of ``end_id`` alone; null and repeated ids keep their
-    pieces; no rows give none. A length that very many pieces have is ranked in
-    parts of about ``salt_rows``.
+    pieces; no rows give none; long texts are cut, never shortened. Other
+    columns, whatever their names, are left out. A length that very many pieces
+    have is ranked in parts of about ``salt_rows``.
     """
     spark = docs.sparkSession
     pieces = materialize(tokenized_pieces(docs, tokenizer, doc_id=doc_id, text=text, capacity=capacity, end_id=end_id), "pieces")
@@ -264,8 +387,9 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
     places = spark.sparkContext.broadcast(Places(plan(counts)))
-    parts = int(counts.sum()) // salt_rows + 1
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    # A row for each length that occurs, ``capacity`` at most: broadcast.
+    parts = spark.createDataFrame([(int(n), int(counts[n]) // salt_rows + 1) for n in np.flatnonzero(counts)], "length long, parts long")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     before = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
