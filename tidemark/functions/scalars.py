@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 RETRY_MARKERS = ("connection", "remote", "timeout", "reset", "503", "service unavailable", "retry_needed", "internal_failure")
 #: Fixed value: seconds that a server may at most make a client wait.
 RETRY_AFTER_CAP = 60
+#: Fixed value: where an error's text, in lower case, says how long to wait.
+RETRY_AFTER = r'retryafter["\s:]+(\d+)'
 
 
 def clean_path(path: Column) -> Column:
@@ -86,7 +88,7 @@ def is_retryable(error: Column) -> Column:
 
 def retry_wait(error: Column, attempt: Column) -> Column:
     """Seconds before the next try: what the server asks for, capped, else 2 to the power of the attempt."""
-    asked = F.regexp_extract(F.lower(F.coalesce(error, F.lit(""))), r'retryafter["\s:]+(\d+)', 1)
+    asked = F.regexp_extract(F.lower(F.coalesce(error, F.lit(""))), RETRY_AFTER, 1)
     backoff = F.pow(F.lit(2), attempt).cast("bigint")
     return F.when(asked != "", F.least(asked.try_cast("bigint"), F.lit(RETRY_AFTER_CAP))).otherwise(backoff)
 

@@ -57,25 +57,27 @@ def resolve_paths(requests: DataFrame, items: DataFrame, strict: bool = False) -
     return found.select("request", "path", pick("root", "owned"), pick("type", "folder"), F.col("item.size").alias("size"), status.alias("status"))
 
 
-def walk(items: DataFrame, start: str = "", root: str = "owned", max_depth: int = 100) -> DataFrame:
-    """What lies below ``start``, found from parent to child, with its distance ``level``.
+def walk(items: DataFrame, start: str = "", root: str = "owned") -> DataFrame:
+    """What lies below ``start``, with its distance ``level``.
 
-    A recursive query: each level is one join of the last level's folders with
-    the items by their parent. Items whose parents are missing aren't reached.
+    An item is reached if every folder between ``start`` and it is there. That is
+    decided for the distinct parents, whose ancestors are looked up among the
+    folders; items are joined with their parents once, whatever the depth. Of
+    repeated items each is kept.
     """
-    spark = items.sparkSession
-    slim = items.where(F.col("root") == root).select("path", "parent", "type")
-    slim.createOrReplaceTempView("_tidemark_walk")
     at = "/".join(p for p in start.split("/") if p)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree (path, type, level) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT path, type, 1 FROM _tidemark_walk WHERE parent = :start
-            UNION ALL
-            SELECT c.path, c.type, t.level + 1 FROM tree t JOIN _tidemark_walk c ON c.parent = t.path AND t.type = 'folder')
-        SELECT path, type, level FROM tree""",
-        args={"start": at},
-    )
+    base = at.count("/") + 1 if at else 0
+    slim = items.where(F.col("root") == root).select("path", "parent", "type")
+    below = slim.where(F.lit(True) if not at else (F.col("parent") == at) | F.startswith("parent", F.lit(at + "/")))
+    parents = below.select("parent").distinct()
+    # The folders on the way from ``start``, which needs no row of its own, to the parent and the parent itself.
+    between = F.filter(S.ancestors(F.col("parent")), lambda a: (a != ".") & (a != "") & (S.depth_of(a) > base))
+    folders = slim.where("type = 'folder'").select(F.col("path").alias("above")).distinct()
+    way = parents.withColumn("n", F.size(between)).select("parent", "n", F.explode_outer(between).alias("above"))
+    whole = way.join(folders.withColumn("there", F.lit(1)), "above", "left").groupBy("parent", "n").agg(F.count("there").alias("have"))
+    reached = whole.where("have = n").select("parent")
+    level = (S.depth_of(F.col("path")) - base).cast("int")
+    return below.join(reached, "parent").select("path", "type", level.alias("level"))
 
 
 def once_each(items: DataFrame) -> DataFrame:
@@ -85,3 +87,31 @@ def once_each(items: DataFrame) -> DataFrame:
 
 def readable_files(items: DataFrame, openable: Column | None = None) -> DataFrame:
     return items.where(S.is_readable_file(F.col("type"), F.col("size"), F.lit(True) if openable is None else openable))
+
+
+def listing_events(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """What is logged when the paths of ``requests`` (``request``) are listed: ``request``, ``level`` and ``body`` (JSON).
+
+    A folder's contents, an empty folder, a file, or a path that isn't there.
+    """
+    found = resolve_paths(requests, items)
+    readable = S.is_readable_file(F.col("type"), F.col("size"), F.lit(True))
+    entry = F.struct("name", S.type_label(readable).alias("type"))
+    held = items.groupBy("root", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("contents"))
+    j = found.join(held, ["root", "path"], "left")
+    say = lambda e, *more: F.to_json(F.struct(F.lit(e).alias("event"), F.col("request").alias("path"), *more))
+    missing, file = F.col("status") != "found", F.col("type") == "file"
+    body = (
+        F.when(missing, say("listing_error", F.concat(F.lit("Path not found: "), "request").alias("error")))
+        .when(file, say("item_info", F.lit("file").alias("type"))).when(F.col("contents").isNull(), say("empty_directory")).otherwise(say("listing_contents", F.col("contents")))
+    )
+    return j.select("request", F.when(missing, "ERROR").otherwise("INFO").alias("level"), body.alias("body"))
+
+
+def shared_listing_event(items: DataFrame) -> DataFrame:
+    """What is logged when the shared roots are listed: one row, ``level`` and ``body``."""
+    readable = S.is_readable_file(F.col("type"), F.col("size"), F.lit(True))
+    roots = items.where("root = 'shared' AND parent = ''").agg(F.array_sort(F.collect_list(F.struct("name", S.type_label(readable).alias("type")))).alias("contents"))
+    none = F.to_json(F.struct(F.lit("no_shared_items").alias("event")))
+    some = F.to_json(F.struct(F.lit("listing_shared_roots").alias("event"), F.col("contents")))
+    return roots.select(F.lit("INFO").alias("level"), F.when(F.size("contents") == 0, none).otherwise(some).alias("body"))

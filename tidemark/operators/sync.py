@@ -74,9 +74,12 @@ def file_checksum(files: DataFrame) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """Files from chunks (``path``, ``start``, ``piece``), put together by position."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"])
-    return chunks.groupBy("path").agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    """Files from chunks (``path``, ``start``, ``piece``), put together by position, for files that one value may hold.
+
+    Larger ones are written by position (``sinks.transfer``).
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: F.hex(x["piece"]))
+    return chunks.groupBy("path").agg(F.unhex(F.array_join(parts, "")).alias("content"))
 
 
 def after_transfer(local: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,11 +36,15 @@ def write_checkpoints(checkpoints: DataFrame, new: DataFrame, results: DataFrame
     cleanup(save_positions(checkpoints, new), results).write.mode("overwrite").parquet(folder)
 
 
-def append_index(results: DataFrame, local_root: str, folder: str) -> None:
-    """Name and local path of each completed file, separated by a tab, appended."""
+def index_rows(results: DataFrame, local_root: str) -> DataFrame:
+    """Name and local path of each completed file."""
     done = results.where("status = 'completed'")
-    rows = done.select(F.substring_index("path", "/", -1), F.concat(F.lit(local_root.rstrip("/") + "/"), "path"))
-    rows.write.mode("append").option("sep", "\t").csv(folder)
+    return done.select(F.substring_index("path", "/", -1).alias("name"), F.concat(F.lit(local_root.rstrip("/") + "/"), "path").alias("local_path"))
+
+
+def append_index(results: DataFrame, local_root: str, folder: str) -> None:
+    """The index rows, separated by tabs, appended."""
+    index_rows(results, local_root).write.mode("append").option("sep", "\t").csv(folder)
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
@@ -60,10 +66,15 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
             if not content:
                 raise ValueError("the file is empty")
             os.makedirs(os.path.dirname(at), exist_ok=True)
-            temp = f"{at}.{os.getpid()}.temp"
-            with open(temp, "wb") as f:
-                f.write(content)
-            os.replace(temp, at)
+            temp = f"{at}.{uuid.uuid4().hex}.temp"
+            try:
+                with open(temp, "wb") as f:
+                    f.write(content)
+                os.replace(temp, at)
+            except OSError:
+                with contextlib.suppress(OSError):
+                    os.remove(temp)
+                raise
             return path, len(content), hashlib.sha256(content).hexdigest(), "completed", ""
         except (OSError, ValueError) as e:
             return path, len(content or b""), "", "failed", str(e)

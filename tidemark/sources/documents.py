@@ -11,11 +11,14 @@ from tidemark.operators.versions import from_map
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """Version rows from metadata files (each one JSON document); broken ones have none."""
-    return from_map(spark.read.option("wholetext", "true").text(path))
+    return from_map(spark.read.text(path, wholetext=True))
 
 
 def read_checkpoints(spark: SparkSession, path: str, suffix: str = ".download") -> DataFrame:
     """The file and position of each sidecar that ``path`` (a pattern) finds."""
-    texts = spark.read.option("wholetext", "true").text(path).withColumn("sidecar", F.input_file_name())
-    own = F.regexp_replace(F.regexp_replace("sidecar", "^file:/+", "/"), f"\\Q{suffix}\\E$", "")
+    texts = spark.read.text(path, wholetext=True)
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    # The path is encoded like an address; a plus sign is no space there.
+    decoded = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    own = F.regexp_replace(decoded, f"\\Q{suffix}\\E$", "")
     return texts.select(own.alias("path"), parse_position(F.col("value")).alias("position"))
