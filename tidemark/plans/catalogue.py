@@ -9,10 +9,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import model
+from tidemark.functions import scalars
 from tidemark.functions.glob import to_regex
-from tidemark.operators import checkpoints, filters, inventory, logs, results, sync, versions
+from tidemark.operators import checkpoints, filters, inventory, logs, results, session, sync, versions
 from tidemark.plans import drive
 from tidemark.plans.drive import sql
+from tidemark.sinks import writers
+from tidemark.sources import documents, http, local
+from tidemark.sources.http import files_transport
 from tidemark.sources.profiles import parse_profiles
 from tidemark.streaming import progress
 
@@ -174,9 +179,160 @@ def _on_events(op: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir
 
 
 def plugin_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the indexing hook writes: name and local path of each file that was transferred."""
-    done = drive.results(spark, sf_dir).where("status = 'completed'")
-    return done.select(F.substring_index("path", "/", -1).alias("name"), F.concat(F.lit("/local/"), "path").alias("local_path"))
+    """The index of the files that were transferred, written and read again."""
+    folder = progress.shared_folder(spark)
+    writers.append_index(drive.results(spark, sf_dir), "/local", folder)
+    return spark.read.option("sep", "\t").schema("name string, local_path string").csv(folder)
+
+
+_AT = "2024-01-02 03:04:05"
+#: Items that a drive may list besides files and folders, and headers that name a length.
+ODD_ITEMS = [("a/none", None, "file", "u"), ("a/shut.txt", "shut.txt", "file", None), ("a/fine.txt", "fine.txt", "file", "u"), ("a/dir", "dir", "folder", None), ("a/null", "null", None, None)]
+HEADERS = [(1, "17"), (2, None), (3, "many"), (4, "9999999999")]
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it is written, without its details' order."""
+    text = results.report(drive.results(spark, sf_dir), F.lit(_AT).cast("timestamp"))
+    folder = progress.shared_folder(spark)
+    writers.write_report(drive.results(spark, sf_dir), F.lit(_AT).cast("timestamp"), folder)
+    back = spark.read.text(folder).select(F.from_json("value", F.schema_of_json(F.lit(text.first()["value"]))).alias("r"))
+    return back.select("r.summary.*", F.size("r.details").cast("bigint").alias("n_details"), F.aggregate("r.details", F.lit(0).cast("bigint"), lambda a, d: a + d["size"]).alias("details_size"))
+
+
+def version_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories with their archives' paths, written as a map by path and read again."""
+    history = versions.version_history(drive.contents(spark, sf_dir))
+    rows = versions.with_archived_path(history, F.lit(_AT).cast("timestamp"))
+    folder = progress.shared_folder(spark)
+    writers.export_version_map(rows, folder)
+    return documents.read_versions(spark, folder).select("path", "version", "checksum", "archived_path", "timestamp")
+
+
+def record_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with odd event ids are archived after a history that has the even ones."""
+    c = drive.contents(spark, sf_dir)
+    odd = F.col("seq.event_id") % 2 == 1
+    history = versions.version_history(c.where(~odd), "contract")
+    return versions.record_versions(history, c.where(odd)).select("path", "version", "checksum")
+
+
+def saved_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that are saved over earlier ones, without those of completed files, written and read again."""
+    done = drive.results(spark, sf_dir)
+    early = done.select("path", F.lit(0).cast("bigint").alias("position"))
+    new = done.where(drive.doc_id_of() % 2 == 0).select("path", (F.col("size") - 1).alias("position"))
+    folder = progress.shared_folder(spark)
+    writers.write_checkpoints(early, new, done, folder)
+    return spark.read.parquet(folder)
+
+
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint files beside documents whose names have spaces, plus and percent signs."""
+    d = drive.table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    name = F.concat(F.lit("a b+c%20 "), F.col("doc_id").cast("string"), F.lit(".txt.download"))
+    folder = progress.shared_folder(spark)
+    writers.write_files(d.select(name.alias("path"), F.encode(F.to_json(F.struct(F.col("doc_id").alias("position"))), "UTF-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return documents.read_checkpoints(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "position")
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and an empty one, written as a file and read again."""
+    folder = progress.shared_folder(spark)
+    files = drive.remote(spark, sf_dir).select("path", "content").unionByName(spark.sql("SELECT 'empty.txt' AS path, X'' AS content"))
+    writers.write_files(files, folder).write.parquet(f"{folder}.outcome")
+    outcome = spark.read.parquet(f"{folder}.outcome")
+    back = local.local_state(spark, folder).select("path", F.sha2("content", 256).alias("read"))
+    return outcome.join(back, "path", "left").select("path", "size", "checksum", "status", "read")
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> tuple[session.Session, str]:
+    """A whole session: both sides as files, every 13th document's address fails."""
+    theirs, mine = progress.shared_folder(spark), progress.shared_folder(spark)
+    for side, folder in ((drive.remote(spark, sf_dir), theirs), (drive.local_state(spark, sf_dir), mine)):
+        writers.write_files(side.select("path", "content"), folder).write.format("noop").mode("overwrite").save()
+    d = drive.doc_id_of()
+    url = F.when(d % 13 == 0, "missing:").otherwise(F.concat(F.lit(theirs + "/"), "path"))
+    items = local.listing(spark, theirs).withColumn("url", F.when(F.col("type") == "file", url))
+    odd = spark.createDataFrame([(p, n, t, u) for p, n, t, u in ODD_ITEMS if n is None or u is None and t == "file"], "path string, name string, type string, url string")
+    items = items.unionByName(odd, allowMissingColumns=True)
+    return session.sync_session(items, mine, files_transport, sleep=_no_wait), mine
+
+
+def _no_wait(seconds: float) -> None: ...
+
+
+def sync_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file of a session, and what the folder then holds."""
+    s, folder = _synced(spark, sf_dir)
+    after = local.local_state(spark, folder).where("path LIKE '%.txt'").select("path", F.sha2("content", 256).alias("after"))
+    return s.results.join(after, "path", "left").select("path", "size", "downloaded", "checksum", "status", "changes", "after")
+
+
+def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a session logs each event."""
+    s, _ = _synced(spark, sf_dir)
+    return s.events.groupBy(F.get_json_object("body", "$.event").alias("event"), "level").agg(F.count(F.lit(1)).alias("events"))
+
+
+def sync_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session records: old contents that are archived, and version 0 of new files."""
+    s, _ = _synced(spark, sf_dir)
+    return s.versions.select("path", "version", "checksum", (F.col("version") > 0).alias("archived"))
+
+
+def listing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = drive.all_items(spark, sf_dir)
+    empty = spark.sql("SELECT 'owned' AS root, 'bare' AS path, '' AS parent, 'bare' AS name, 'folder' AS type, CAST(NULL AS BIGINT) AS size, 1 AS depth")
+    asked = spark.createDataFrame([(r,) for r in ("en/src1", "bare", "page_0.html", "nowhere/at/all")], "request string")
+    said = inventory.listing_events(items.unionByName(empty), asked)
+    more = inventory.shared_listing_event(items).unionByName(inventory.shared_listing_event(items.where("root = 'owned'")))
+    every = said.unionByName(more.select(F.lit("shared").alias("request"), "level", "body"))
+    contents = F.from_json("body", model.LOG_EVENT)["contents"]
+    return every.select("request", "level", F.get_json_object("body", "$.event").alias("event"), F.get_json_object("body", "$.error").alias("error"), F.coalesce(F.size(contents), F.lit(0)).cast("bigint").alias("entries"))
+
+
+def invalid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.createDataFrame(ODD_ITEMS, "path string, name string, type string, url string")
+    return session.invalid_items(items).select("path", "event.level", F.get_json_object("event.body", "$.event").alias("event"))
+
+
+def once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are listed twice."""
+    items = drive.all_items(spark, sf_dir)
+    return inventory.once_each(items.unionByName(items)).select("root", "path", "type")
+
+
+def empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and empty remote files, of which one is there and one isn't."""
+    remote = drive.remote(spark, sf_dir).select("path", "size").unionByName(spark.sql("SELECT * FROM VALUES ('e1', 0L), ('e2', 0L), ('e3', 5L) AS t(path, size)"))
+    mine = drive.local_state(spark, sf_dir).select("path", "size").unionByName(spark.sql("SELECT * FROM VALUES ('e1', 4L), ('e3', 0L) AS t(path, size)"))
+    return sync.sync_plan(remote, mine).where("path LIKE 'e_' OR action <> 'unchanged'").select("path", "action", "bytes")
+
+
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as another system writes them, below a root, back to those of the inventory."""
+    there = F.concat(F.lit("/data\\drive\\"), F.replace(F.col("path"), F.lit("/"), F.lit("\\")))
+    return drive.remote(spark, sf_dir).select("path", scalars.relative_path(scalars.as_posix(there), "/data/drive/").alias("relative"))
+
+
+def content_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = spark.createDataFrame(HEADERS, "id long, header string")
+    return h.select("id", scalars.content_length(F.col("header")).alias("length"))
+
+
+def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 6).select(F.col("id").alias("attempts"), F.explode(scalars.backoff_schedule(F.col("id"))).alias("seconds"))
+
+
+def ranges_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that are asked for from files, some of which aren't there."""
+    folder = progress.shared_folder(spark)
+    writers.write_files(drive.remote(spark, sf_dir).select("path", "content"), folder).write.format("noop").mode("overwrite").save()
+    d = drive.doc_id_of()
+    asked = drive.plan(spark, sf_dir).where("action <> 'unchanged'").select("path", F.when(d % 13 == 0, "missing:").otherwise(F.concat(F.lit(folder + "/"), "path")).alias("url"), F.floor(F.col("size") / 2).alias("start"), (F.col("size") - 1).alias("end"))
+    got = http.fetch_ranges(asked, files_transport, retries=1)
+    return got.select("path", "start", F.sha2("piece", 256).alias("sha"), (F.col("error") != "").alias("failed"))
 
 
 def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +397,36 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "retryable_errors": (partial(_on_events, logs.retryable_errors), sql("remote local plan events_logged", """SELECT event, file, error, error <> 'Permission denied' AS retryable FROM logged WHERE error IS NOT NULL""")),
     "retry_wait": (partial(_on_events, logs.retry_waits), sql("remote local plan events_logged", """SELECT file, attempt, CAST(CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 2 END AS BIGINT) AS wait_seconds FROM logged WHERE event = 'connection_retry'""")),
     "event_counts": (partial(_on_events, logs.event_counts), sql("remote local plan events_logged", """SELECT event, level, count(*) AS events FROM logged GROUP BY event, level""")),
+    "report_text": (report_text, sql("remote local plan results", f"""SELECT count(*) AS total_files, count(*) FILTER (status = 'completed') AS successful, count(*) FILTER (status = 'failed') AS failed,
+        CAST(sum(downloaded) AS BIGINT) AS total_bytes_transferred, CAST(sum(changes) AS BIGINT) AS total_changed_chunks, '{_AT}' AS timestamp, count(*) AS n_details, CAST(sum(size) AS BIGINT) AS details_size FROM results""")),
+    "version_map": (version_map, sql("contents history", """SELECT path, version, checksum, CASE WHEN n > 1 THEN '.versions/' || path || '.v' || version || '_20240102T030405' ELSE '' END AS archived_path, '20240102T030405' AS timestamp FROM history""")),
+    "record_versions": (record_versions, """, c AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, event_id, md5(concat(event_type, ':', event_id)) AS checksum FROM events),
+        e AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY ts, event_id) - 1 AS INTEGER) AS version, checksum FROM c WHERE event_id % 2 = 0)
+        SELECT * FROM e UNION ALL SELECT path, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS INTEGER), checksum
+        FROM c LEFT JOIN (SELECT path, max(version) AS last FROM e GROUP BY path) USING (path) WHERE event_id % 2 = 1""".replace(", c AS", "WITH c AS", 1)),
+    "saved_checkpoints": (saved_checkpoints, sql("remote local plan results", """SELECT path, CASE WHEN r.doc_id % 2 = 0 THEN r.size - 1 ELSE 0 END AS position FROM results JOIN remote r USING (path) WHERE status <> 'completed'""")),
+    "sidecars": (sidecars, """SELECT concat('a b+c%20 ', doc_id, '.txt') AS name, doc_id AS position FROM documents WHERE doc_id % 50 = 0"""),
+    "written_files": (written_files, sql("remote", """SELECT path, size, sha256(content) AS checksum, 'completed' AS status, sha256(content) AS read FROM remote UNION ALL SELECT 'empty.txt', 0, '', 'failed', NULL""")),
+    "sync_session": (sync_session, sql("remote local plan results", """SELECT r.path, r.size, downloaded, checksum, status, changes, CASE WHEN status = 'completed' THEN checksum ELSE sha256(l.content) END AS after
+        FROM results r LEFT JOIN local l USING (path)""")),
+    "sync_events": (sync_events, sql("remote local plan results", """SELECT 'file_unchanged' AS event, 'INFO' AS level, count(*) AS events FROM plan WHERE action = 'unchanged'
+        UNION ALL SELECT 'download_success', 'INFO', count(*) FROM plan WHERE action = 'unchanged' OR doc_id % 13 <> 0
+        UNION ALL SELECT 'download_failed', 'ERROR', 2 * count(*) FROM results WHERE status = 'failed' UNION ALL SELECT 'invalid_item', 'WARNING', 2""")),
+    "sync_versions": (sync_versions, sql("remote local plan results", """SELECT l.path, CAST(1 AS INTEGER) AS version, sha256(l.content) AS checksum, true AS archived FROM results JOIN local l USING (path)
+        UNION ALL SELECT path, 0, checksum, false FROM results WHERE status = 'completed' AND path NOT IN (SELECT path FROM local)""")),
+    "listing_events": (listing_events, sql("remote shared items", """SELECT 'en/src1' AS request, 'INFO' AS level, 'listing_contents' AS event, NULL AS error, count(*) AS entries FROM items WHERE root = 'owned' AND parent = 'en/src1'
+        UNION ALL SELECT 'bare', 'INFO', 'empty_directory', NULL, 0 UNION ALL SELECT 'page_0.html', 'INFO', 'item_info', NULL, 0
+        UNION ALL SELECT 'nowhere/at/all', 'ERROR', 'listing_error', 'Path not found: nowhere/at/all', 0
+        UNION ALL SELECT 'shared', 'INFO', 'listing_shared_roots', NULL, count(*) FROM shared UNION ALL SELECT 'shared', 'INFO', 'no_shared_items', NULL, 0""")),
+    "invalid_items": (invalid_items, """SELECT unnest(['a/none', 'a/shut.txt', 'a/null']) AS path, 'WARNING' AS level, 'invalid_item' AS event"""),
+    "once_each": (once_each, sql("remote shared items", """SELECT DISTINCT root, path, type FROM items""")),
+    "empty_files": (empty_files, sql("remote local plan", """SELECT path, action, size AS bytes FROM plan WHERE action <> 'unchanged'
+        UNION ALL SELECT * FROM (VALUES ('e1', 'unchanged', 0), ('e2', 'unchanged', 0), ('e3', 'new', 5))""")),
+    "relative_paths": (relative_paths, sql("remote", """SELECT path, path AS relative FROM remote""")),
+    "content_lengths": (content_lengths, """SELECT * FROM (VALUES (1, 17), (2, 0), (3, NULL), (4, 9999999999)) AS t(id, length)"""),
+    "backoff": (backoff, """SELECT a AS attempts, CAST(pow(2, i) AS BIGINT) AS seconds FROM range(1, 6) r(a), range(1, 6) s(i) WHERE i <= a"""),
+    "ranges_fetched": (ranges_fetched, sql("remote local plan", """SELECT path, size // 2 AS "start", CASE WHEN p.doc_id % 13 = 0 THEN NULL ELSE sha256(content[p.size // 2 + 1 :]) END AS sha, p.doc_id % 13 = 0 AS failed
+        FROM (SELECT * FROM plan WHERE action <> 'unchanged') p JOIN (SELECT path, content FROM remote) r USING (path)""")),
     "plugin_index": (plugin_index, sql("remote local plan results", """SELECT string_split(path, '/')[-1] AS name, '/local/' || path AS local_path FROM results WHERE status = 'completed'""")),
     "incremental_sync": (incremental_sync, sql("remote local plan results", """SELECT path, p.size, action, p.size AS bytes FROM plan p JOIN results USING (path) WHERE status = 'failed'""")),
     "progress_stream": (progress_stream, """SELECT user_id AS key, arg_max(event_id, (ts, event_id)) AS position FROM events GROUP BY user_id"""),
