@@ -1,34 +1,38 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-text. A document is read in overlapping windows of words. A window is compressed
-with the ordinary dictionary and with the ordinary and toxic one; what the
-toxic text saves in bytes is held against several thresholds, and how many
+There are two zstandard dictionaries, of ordinary and of toxic text. A document
+is read in overlapping windows of words. A window is compressed with the
+ordinary dictionary, and with the ordinary and the toxic one together; how many
+bytes the toxic one saves is held against several thresholds, and how many
 windows pass each is turned into a probability by a logistic model that is
 calibrated on labelled documents.
 
-Toxic documents consist of ordinary prose for the most part. What the toxic
-dictionary is trained on is therefore the toxic documents' distinctive text:
-the runs of 5-character grams that many more toxic than ordinary documents hold.
+The ordinary dictionary is trained by zstandard. The toxic one is not: toxic
+documents consist of ordinary prose for the most part, and dictionaries trained
+on their windows, whole or selected, miss many of them (the README has figures).
+It holds instead the pieces of their distinctive words, those with runs of
+characters that many more toxic than ordinary documents have. Ordinary prose
+costs the same on both sides.
 """
 
 from __future__ import annotations
 
-import random
+import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, utf8
+from tidemark.llm.common import append_columns, column, free_names, quoted, utf8
 
 GRAM = 5
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Saved bytes at which a window counts, for each of the model's counts.
 THRESHOLDS = (2, 3, 4, 5)
 
@@ -39,18 +43,24 @@ class Settings:
 
     The sample is the labelled rows whose hashed ids come first, at most
     ``toxic_rows`` and ``ordinary_rows`` of them, from those of at most
-    ``row_bytes`` bytes. It bounds the driver's memory; scoring reads all.
+    ``row_bytes`` bytes; the ordinary dictionary is trained on the
+    ``row_windows`` windows of each ordinary one whose hashes come first. This
+    bounds the driver's memory; scoring reads all. A run of characters counts as
+    typical from ``least_docs`` toxic texts and odds of e to the ``least_odds``
+    on, a word with such a run from ``least_words`` occurrences on.
     """
 
     toxic_rows: int = 2000
     ordinary_rows: int = 4000
     row_bytes: int = 32_768
+    row_windows: int = 16
     window: int = 8
     hop: int = 4
     ordinary_bytes: int = 20_000
     toxic_bytes: int = 6_000
     least_docs: int = 4
     least_odds: float = 2.5
+    least_words: int = 3
 
 
 def windows(text: bytes | None, window: int, hop: int) -> list[bytes]:
@@ -68,14 +78,25 @@ def _compressor(content: bytes):
     return zstd.ZstdCompressor(compression_params=params, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT))
 
 
+def _joined(samples: list[bytes], size: int) -> bytes:
+    """Of the different samples as many of the most frequent as fit, the most frequent last, where they cost least."""
+    out, left = [], size
+    for x, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+        if len(x) <= left:
+            out.append(x)
+            left -= len(x)
+    return b"".join(reversed(out))
+
+
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """The content of a dictionary trained on ``samples``; of few samples, they themselves."""
+    """The content of a dictionary trained on ``samples`` in the order of hashes; of few samples, they themselves."""
     if sum(map(len, samples)) > 4 * size:
+        samples = [x for _, x in sorted((zlib.crc32(b"%d " % i + x), x) for i, x in enumerate(sorted(samples)))]
         try:
             return zstd.train_dictionary(size + size // 4, samples, k=32, d=6).as_bytes()[-size:]
         except zstd.ZstdError:
             pass
-    return b"".join(dict.fromkeys(samples))[-size:]
+    return _joined(samples, size)
 
 
 def _plain(text: bytes) -> list[str]:
@@ -83,52 +104,69 @@ def _plain(text: bytes) -> list[str]:
     return text.lower().decode("utf-8", "replace").split()
 
 
-def _grams(text: bytes) -> set[str]:
-    t = f" {' '.join(_plain(text))} "
-    return {g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])[1:-1]}
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of ``GRAM`` characters, and whether it lies in one word (but for a space at either end)."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, c.size - GRAM + 1)
+    key, inside = c[:n], np.ones(n, bool)
+    for i in range(1, GRAM):
+        key = key * _MIX + c[i : n + i]
+        if i < GRAM - 1:
+            inside &= c[i : n + i] != 32
+    return key ^ key >> np.uint64(29), inside
+
+
+def _docs_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of characters in words, and how many texts have each."""
+    own = [np.unique(key[inside]) for t in texts for key, inside in [_grams(f" {' '.join(_plain(t))} ")]]
+    return np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
-    """Pieces of words that are typical of toxic texts, the most frequent last.
+    """Pieces of words that are typical of toxic texts, as often as they occur: what the toxic dictionary holds.
 
     A run of five characters is typical if it is in ``least_docs`` toxic texts or more, after
     as many different words and a fifth of its texts at least (a passage that
     many texts repeat is no sign), with odds above ``least_odds``, and if that is no chance: the likelihood ratio
     statistic must exceed what the likeliest of so many grams would have.
     """
-    counts = [Counter(), Counter()]
-    for y, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            counts[y].update(_grams(t))
+    grams, a = _docs_with(toxic)
+    other, n_other = _docs_with(ordinary)
+    at = np.minimum(np.searchsorted(other, grams), max(0, other.size - 1))
+    b = np.where(other[at] == grams, n_other[at], 0) if other.size else np.zeros(grams.size, np.int64)
     n0, n1 = len(ordinary), len(toxic)
-    base, chance = np.log((n1 + 1) / (n0 + 1)), 2 * np.log(max(2, len(counts[1]))) + 4
-
-    def evidence(a: int, b: int) -> float:
-        e = (a + b) * n1 / (n0 + n1)
-        return 2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0))
-
-    hot = {g for g, a in counts[1].items() if a >= s.least_docs and np.log((a + 0.5) / (counts[0][g] + 0.5)) - base > s.least_odds and evidence(a, counts[0][g]) > chance}
+    base, chance = np.log((n1 + 1) / (n0 + 1)), 2 * np.log(max(2, grams.size)) + 4
+    e = (a + b) * n1 / (n0 + n1)
+    evidence = 2 * (a * np.log(a / e) + b * np.log(np.maximum(b, 1) / (a + b - e)))
+    able = (a >= s.least_docs) & (np.log((a + 0.5) / (b + 0.5)) - base > s.least_odds) & (evidence > chance)
+    grams, a = grams[able], a[able]
     pairs = Counter(p for t in toxic for w in [_plain(t)] for p in zip(["", *w], w, strict=False))
-    after: dict[str, set[str]] = {g: set() for g in hot}
+    words = sorted({w for _, w in pairs})
+    joined = "".join(f" {w} " for w in words)
+    key, inside = _grams(joined)
+    place = np.flatnonzero(inside & np.isin(key, grams))
+    first = np.cumsum([0, *(len(w) + 2 for w in words)])
+    hot: dict[str, list[tuple[int, int]]] = {}
+    for k, p in zip(key[place].tolist(), place.tolist(), strict=True):
+        i = int(np.searchsorted(first, p, "right")) - 1
+        hot.setdefault(words[i], []).append((p - int(first[i]), k))
+    after: dict[int, set[str]] = {k: set() for k in grams.tolist()}
     for before, word in pairs:
-        w = f" {word} "
-        for i in range(len(w) - GRAM + 1):
-            if (g := w[i : i + GRAM]) in after:
-                after[g].add(before)
-    hot = {g for g in hot if len(after[g]) >= max(s.least_docs, counts[1][g] / 5)}
+        for _, k in hot.get(word, ()):
+            after[k].add(before)
+    stay = {k for k, n in zip(grams.tolist(), a.tolist(), strict=True) if len(after[k]) >= max(s.least_docs, n / 5)}
     runs: Counter = Counter()
     for (_, word), n in pairs.items():
         w, end, begin = f" {word} ", -1, 0
-        for i in range(len(w) - GRAM + 1):
-            if w[i : i + GRAM] in hot:
-                if i >= end:
-                    if end > 0:
-                        runs[w[begin:end]] += n
-                    begin = i
-                end = i + GRAM
+        for i in sorted(i for i, k in hot.get(word, ()) if k in stay):
+            if i >= end:
+                if end > 0:
+                    runs[w[begin:end]] += n
+                begin = i
+            end = i + GRAM
         if end > 0:
             runs[w[begin:end]] += n
-    return [r.encode() for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 3]
+    return [r.encode() for r, n in sorted(runs.items()) if n >= s.least_words for _ in range(n)]
 
 
 @dataclass
@@ -144,14 +182,15 @@ class Model:
     prior: float = 0.0
 
     def features(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        """For each text: what the toxic dictionary saves in its best windows (6 bytes count in each at most), and how many windows, and which share, pass each threshold."""
         plain, both = _compressor(self.ordinary).compress, _compressor(self.ordinary + self.toxic).compress
         out = []
         for t in texts:
             saved = np.array([len(plain(w)) - len(both(w)) for w in windows(t, self.settings.window, self.settings.hop)])
             most = np.minimum(np.sort(saved)[::-1][:4], 6)
-            over = [(saved >= k).sum() for k in THRESHOLDS]
-            out.append([most[0], most[:2].mean(), most.mean(), *np.log1p(over), *(np.array(over[:3]) / saved.size), np.log1p(saved.size)])
-        return np.array(out, float).reshape(len(out), 7 + len(THRESHOLDS))
+            over = (saved[:, None] >= np.array(THRESHOLDS)).sum(0)
+            out.append([most[0], most[:2].mean(), most.mean(), *np.log1p(over), *(over[:3] / saved.size)])
+        return np.array(out, float).reshape(len(out), 6 + len(THRESHOLDS))
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         if not self.weights.size:
@@ -160,18 +199,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def train(rows: list[tuple[bytes, int]], s: Settings = Settings(), stands_for: tuple[float, float] = (1, 1)) -> Model:
-    """A model from labelled texts; an ordinary and a toxic row stand for so many in the calibration. Without rows of both classes, every score is the share of toxic rows (0 if none)."""
-    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+def dictionaries(rows: list[tuple[bytes, int]], s: Settings = Settings()) -> Model:
+    """A model from labelled texts that is not calibrated yet. The rows' order is of no account. Without rows of both classes, every score is the share of toxic rows (0 if none)."""
+    toxic, ordinary = sorted(t for t, y in rows if y), sorted(t for t, y in rows if not y)
     if not toxic or not ordinary:
         return Model(s, prior=float(bool(toxic)))
-    rnd = random.Random(0)
-    each = [windows(t, s.window, s.window) for t in ordinary]
-    sample = [w for x in each for w in (x if len(x) <= 16 else rnd.sample(x, 16))]
-    rnd.shuffle(sample)
-    toxic_content = b"".join(distinctive(toxic, ordinary, s))[-s.toxic_bytes :]
-    model = Model(s, _trained(sample, s.ordinary_bytes) or b" " * 8, toxic_content)
-    x, y = model.features(t for t, _ in rows), np.array([y for _, y in rows], float)
+    first = lambda each: sorted(each, key=lambda w: (zlib.crc32(w), w))[: s.row_windows]
+    sample = [w for t in ordinary for w in first(windows(t, s.window, s.window))]
+    return Model(s, _trained(sample, s.ordinary_bytes) or b" " * 8, _joined(distinctive(toxic, ordinary, s), s.toxic_bytes))
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, stands_for: tuple[float, float] = (1, 1)) -> Model:
+    """The model with the logistic weights that fit its features ``x`` to labels; an ordinary and a toxic row stand for so many."""
+    order = np.lexsort([*x.T, y])
+    x, y = x[order], y[order].astype(float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     r = np.where(y > 0, stands_for[1], stands_for[0])
@@ -184,6 +225,29 @@ def train(rows: list[tuple[bytes, int]], s: Settings = Settings(), stands_for: t
     return model
 
 
+def train(rows: list[tuple[bytes, int]], s: Settings = Settings(), stands_for: tuple[float, float] = (1, 1)) -> Model:
+    """``dictionaries`` and ``calibrate`` in one place."""
+    model = dictionaries(rows, s)
+    return calibrate(model, model.features(t for t, _ in rows), np.array([y for _, y in rows]), stands_for) if model.ordinary else model
+
+
+def _train(spark: SparkSession, rows: list[tuple[bytes, int]], s: Settings, stands_for: tuple[float, float]) -> Model:
+    """The same, with the features of the rows, which are bounded, worked out by the executors."""
+    model = dictionaries(rows, s)
+    if not model.ordinary:
+        return model
+    shared, parts = spark.sparkContext.broadcast(model), min(64, 1 + len(rows) // 50)
+    frame = pa.table({"part": pa.array([i % parts for i in range(len(rows))]), "t": pa.array([t for t, _ in rows], pa.binary()), "y": pa.array([int(y) for _, y in rows])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = shared.value.features(b.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = spark.createDataFrame(frame).repartition(parts, "part").mapInArrow(run, "y long, x array<double>").collect()
+    return calibrate(model, np.array([r.x for r in got]), np.array([r.y for r in got]), stands_for)
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Rows that are kept out of training: the id's CRC-32, as text, is divisible by 5. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -197,10 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     bound, as labels may lack a document) are joined by broadcast: their number
     is bounded.
     """
-    known = labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
+    known = labels.select(column(labels, doc_id).alias("i"), column(labels, label).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
     rows: list[tuple[bytes, int]] = []
-    texts = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.octet_length("t").between(1, settings.row_bytes))
+    texts = docs.select(column(docs, doc_id).alias("i"), column(docs, text).alias("t")).where(F.octet_length("t").between(1, settings.row_bytes))
     taken, bound = [0, 0], False
     for y, most in ((1, settings.toxic_rows), (0, settings.ordinary_rows)):
         some = known.where((F.col("y") > 0) == bool(y)).orderBy("h", "i").limit(2 * most)
@@ -209,27 +273,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         rows += [(t.encode("utf-8", "surrogatepass"), y) for t in each.values()]
         taken[y], bound = len(each), bound or len(got) >= most
     if not bound or not all(taken):
-        return train(rows, settings)
+        return _train(docs.sparkSession, rows, settings, (1, 1))
     # Each class was cut on its own: a row stands for its share of all that could have been taken.
     able = texts.select("i").join(known, "i").groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.countDistinct("i").alias("n"))
     n = {r.y: r.n for r in able.collect()}
-    return train(rows, settings, (n[0] / taken[0], n[1] / taken[1]))
+    return _train(docs.sparkSession, rows, settings, (n[0] / taken[0], n[1] / taken[1]))
 
 
 def annotate_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``held_out``, ``score`` (0 to 1, of the whole text) and ``predicted`` (1 from 0.5).
 
-    Only the text is scored. Null and empty texts are scored as one empty
-    window. Columns of these names are replaced; no shuffle.
+    Only the text is scored, whole, however long. Null and empty texts are
+    scored as one empty window; rows are scored one by one, so repeated ones
+    alike; no rows give none. Columns of these names are replaced; no shuffle.
     """
     scored = _scored(docs, model, text, "score")
-    return scored.withColumns({"held_out": held_out(F.col(f"`{doc_id}`")), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return scored.withColumns({"held_out": held_out(column(docs, doc_id)), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns only."""
+    """The rows of ``docs`` that are not predicted toxic, with their own columns only, whatever their names.
+
+    Null and empty texts are scored as an empty window; repeated rows go or stay
+    together; no rows give none. Labels that are missing, null or all alike
+    leave nothing to learn: every row's score is the share of toxic labels then.
+    """
     model = fit(docs, labels, doc_id=doc_id, text=text, settings=settings)
-    return _scored(docs, model, text, "__toxicity").where("__toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = free_names(docs, "__toxicity")
+    return _scored(docs, model, text, name).where(F.col(name) < 0.5).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def _scored(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
@@ -241,4 +312,4 @@ def _scored(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
 
         return step
 
-    return append_columns(docs, {"text": F.col(f"`{text}`")}, [T.StructField(name, T.DoubleType())], start)
+    return append_columns(docs, {"text": column(docs, text)}, [T.StructField(name, T.DoubleType())], start)
