@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pyarrow.parquet as pq
+import xxhash
 
 from tidemark.llm import fingerprints as f
 
@@ -72,3 +73,63 @@ def test_nothing_and_one(spark):
     (r,) = f.edited_and_next(df).collect()
     assert r.near_next == 1.0 and r.n_chars == 13
     assert f.edited_and_next(df.limit(0)).count() == 0 and f.fingerprint(df.limit(0)).count() == 0
+
+
+def spark_hash(*values):
+    """The engine's 64-bit hash of longs, ints and strings in a row; nulls are passed over."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            raw = v.encode() if kind == "s" else (v % (1 << 64)).to_bytes(8, "little") if kind == "l" else (v % (1 << 32)).to_bytes(4, "little")
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sample(counts, seed):
+    """The sample that the definition gives: the term's hash and t."""
+    best = None
+    for (a, b), n in counts.items():
+        term = signed(spark_hash(("s", a), ("s", b)))
+        h = [spark_hash(("l", term), ("i", seed), ("i", k)) for k in (1, 2, 3)]
+        u = [((x & 0xFFFFFFFF) + 0.5) / (1 << 32) for x in h] + [((x >> 32) + 0.5) / (1 << 32) for x in h]
+        r, ln_c = -math.log(u[0]) - math.log(u[3]), math.log(-math.log(u[1]) - math.log(u[4]))
+        t = math.floor(math.log(n) / r + u[2])
+        a_t = ln_c - r * (t - u[2] + 1)
+        if best is None or a_t < best[0]:
+            best = (a_t, term, t)
+    return best[1:]
+
+
+def test_plain_samples_are_those_of_the_definition(spark):
+    texts = ["a b a b a b a b c d c d", "a b " * 40 + "c d e f g", "one two three", ""]
+    rounds = 50
+    got = f.fingerprint(spark.createDataFrame(list(enumerate(texts)), SCHEMA), bins=1, piece=None, rounds=rounds).collect()
+    heavy = set()
+    for r in got:
+        # An empty text is one empty word between the edges, and nulls are passed over by the hash.
+        samples = [plain_sample(Counter(bag(texts[r.doc_id]) if texts[r.doc_id] else [(None, "")] * 2), k) for k in range(rounds)]
+        heavy |= {t for _, t in samples}
+        assert list(r.entries) == [k << 20 | spark_hash(("l", term), ("l", t), ("i", k)) & ((1 << 20) - 1) for k, (term, t) in enumerate(samples)]
+    assert len(heavy) > 3  # weights above 1 move t
+
+
+def test_likeness_of_edited_and_next_texts(spark):
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist() if len(r["text"]) > 600]
+    got = {r.doc_id: r for r in f.edited_and_next(spark.createDataFrame(rows, SCHEMA)).collect()}
+    off = []
+    for d, _, _, t, e, nxt in neighbours(rows):
+        off += [got[d].near_edited - jaccard(bag(t), bag(e)), got[d].near_next - jaccard(bag(t), bag(nxt))]
+    assert abs(sum(off) / len(off)) < 0.01 and math.sqrt(sum(x * x for x in off) / len(off)) < 0.06 and max(map(abs, off)) < 0.3
+
+
+def test_a_hot_id_is_parted(spark):
+    rows = [(None, f"{i * 7919 % 500:03d} text {i}") for i in range(300)] + [(7, f"{i * 31 % 97:02d} same id {i}") for i in range(200)] + [(i, f"other {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bounds = f._splits(df.select(f.F.coalesce("doc_id", f.F.lit(-(1 << 63)).cast("long")).alias("k"), f.F.col("text").alias("t")), 12)
+    assert sum(x.startswith("0" * 16) for x in bounds) > 4 and len(set(bounds)) == len(bounds) and bounds == sorted(bounds)
+    got = f.edited_and_next(df, range_bytes=700).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_chars, r.edited_sha256) for r in got))) == sorted(map(str, (w[:3] for w in neighbours(rows))))
