@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, materialize, slices, utf8
+from tidemark.llm.common import append_columns, column, materialize, quoted, slices, utf8
 
 #: Lower-cases A-Z and turns every other ASCII character that is no word character into a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -126,7 +126,7 @@ class WuManber:
 class WindowIndex:
     """Benchmark windows, their search tables, and the items that have each window."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.items = [i for i, _ in items]
         blob, at = [], 0
         found: dict[bytes, int] = {}
@@ -155,12 +155,12 @@ class WindowIndex:
         self.first = np.searchsorted(np.array(owned, np.int64)[order], np.arange(len(starts) + 1))
         self.search = WuManber(b"".join(blob), np.array(starts, np.int64), np.array(lengths, np.int64))
 
-    def owners(self, pattern: int) -> set[str]:
+    def owners(self, pattern: int) -> set[str | None]:
         return {self.items[k] for k in self.owner[self.first[pattern] : self.first[pattern + 1]].tolist()}
 
-    def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str | None]]]:
         """For each text: its number of words, the hit word ranges (end exclusive, merged), the items found."""
-        out: list[tuple[int, list[tuple[int, int]], set[str]]] = []
+        out: list[tuple[int, list[tuple[int, int]], set[str | None]]] = []
         for a, b in slices([len(t or b"") for t in texts], _AT_ONCE):
             own = [words(t) for t in texts[a:b]]
             joined = [b" " + b" ".join(w) + b" \n" for w in own]
@@ -174,7 +174,7 @@ class WindowIndex:
                 out.append((len(w), *self._ranges(joined[i], at[ks] - starts[i], pattern[ks])) if ks else (len(w), [], set()))
         return out
 
-    def _ranges(self, text: bytes, at: np.ndarray, pattern: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def _ranges(self, text: bytes, at: np.ndarray, pattern: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
         first = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), at)
         merged: list[tuple[int, int]] = []
         for x, y in sorted(zip(first.tolist(), (first + self.n_words[pattern]).tolist(), strict=True)):
@@ -187,7 +187,7 @@ class WindowIndex:
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
     """The items in blocks of at most ``block_bytes`` of text (or one item), each read by its own job."""
-    slim = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL")
+    slim = items.select(column(items, item_id).cast("string").alias("i"), column(items, item_text).alias("t")).where("t IS NOT NULL")
     total = slim.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // block_bytes))
     if n == 1:
@@ -221,19 +221,21 @@ def annotate_contamination(
     block means one pass over the documents for each, written between passes.
 
     Null or empty texts have no words and are clean; items that are null or
-    have no words have no window; an item id that is null is kept out; equal
+    have no words have no window; items without an id are searched for like
+    others and count as one item, which is a null at the end of ``items``; equal
     items and repeated rows count by their ids; an empty benchmark leaves
-    everything clean.
+    everything clean, and no documents give no rows; texts of any length are
+    searched whole.
     """
     spark = docs.sparkSession
-    blocks = _item_blocks(items.where(F.col(f"`{item_id}`").isNotNull()), item_id, item_text, block_bytes)
+    blocks = _item_blocks(items, item_id, item_text, block_bytes)
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     n_words, hit_ranges, found_items = (f"{prefix}{n}" for n in ("n_words", "hit_ranges", "items"))
     found = [T.StructField(n_words, T.LongType()), T.StructField(hit_ranges, ranges), T.StructField(found_items, T.ArrayType(T.StringType()))]
     out = docs.drop(hit_ranges, found_items)
     for k, block in enumerate(blocks):
         index = spark.sparkContext.broadcast(WindowIndex([(r.i, r.t.encode("utf-8", "surrogatepass")) for r in block.collect()], window))
-        inputs = {"text": F.col(f"`{text}`")} | ({"ranges": F.col(hit_ranges), "items": F.col(found_items)} if k else {})
+        inputs = {"text": column(docs, text)} | ({"ranges": F.col(hit_ranges), "items": F.col(found_items)} if k else {})
 
         def start(index=index):
             def step(columns):
@@ -241,7 +243,7 @@ def annotate_contamination(
                 if len(columns) > 1:
                     earlier = zip(columns[1].to_pylist(), columns[2].to_pylist(), strict=True)
                     got = [(n, _union([*r, *((x["a"], x["b"]) for x in r0)]), i | set(i0)) for (n, r, i), (r0, i0) in zip(got, earlier, strict=True)]
-                return [[g[0] for g in got], [[{"a": a, "b": b} for a, b in g[1]] for g in got], [sorted(g[2]) for g in got]]
+                return [[g[0] for g in got], [[{"a": a, "b": b} for a, b in g[1]] for g in got], [sorted(g[2] - {None}) + [None] * (None in g[2]) for g in got]]
 
             return step
 
@@ -270,6 +272,10 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns only."""
+    """The rows of ``docs`` that are not contaminated, with their own columns only, whatever their names.
+
+    Rows are judged one by one, so repeated ones go or stay together; null and
+    empty texts stay; no benchmark keeps all, no documents give none.
+    """
     marked = annotate_contamination(docs, items, prefix="__c_", **options)
-    return marked.where("NOT __c_contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.where("NOT __c_contaminated").select(*[F.col(quoted(c)) for c in docs.columns])
