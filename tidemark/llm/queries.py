@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import digest_conversations
-from tidemark.llm.common import table
+from tidemark.llm.common import shared_dir, table
 from tidemark.llm.decontamination import annotate_contamination
 from tidemark.llm.fingerprints import edited_and_next
-from tidemark.llm.ledger import BASE_KINDS, joined, scan_versions
+from tidemark.llm.ledger import BASE_KINDS, RULES, Ledger, joined, scan_versions
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymize
 from tidemark.llm.quality import annotate_quality
@@ -56,12 +57,48 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_versions(table(spark, sf_dir, "documents"), key=["doc_id"])
+    """The documents are the versions of a new ledger in the shared folder."""
+    ledger = Ledger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    found, _ = scan_versions(table(spark, sf_dir, "documents"), ledger, key=["doc_id"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _spans_sql(order: int, kind: str, pattern: str, keep: str, group: int = 0, before: int = 0) -> str:
+    """A select of the spans of a kind: matches lie where the texts between them end.
+
+    ``before`` is a group of what stands before the span itself.
+    """
+    p = pattern.replace("'", "''")
+    lead = f"length(coalesce(regexp_extract_all(text, '{p}', {before})[k], ''))" if before else "0"
+    return f"""SELECT rid, {order} AS o, '{kind}' AS kind, {lead} + pos AS a, pos + length(m[k]) AS b FROM (
+      SELECT rid, text, m, k, list_sum([length(x) for x in gaps[:k]]) + coalesce(list_sum([length(x) for x in m[:k - 1]]), 0) AS pos, v[k] AS value FROM (
+        SELECT rid, text, m, v, gaps, unnest(generate_series(1, len(m))) AS k FROM (
+          SELECT rid, text, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS gaps FROM d)))
+    WHERE {keep}"""
+
+
+_OP3_SPANS = " UNION ALL ".join([
+    _spans_sql(0, "assign", RULES[0].pattern, "length(value) >= 6", 2),
+    _spans_sql(1, "access", "AKIA[A-Z0-9]+", "length(value) >= 20"),
+    _spans_sql(2, "hex", "[0-9a-f]+", "length(value) >= 24"),
+    _spans_sql(3, "pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "true"),
+    _spans_sql(4, "github", "gh[pousr]_[A-Za-z0-9]+", "length(value) >= 40"),
+    _spans_sql(5, "jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "true", 0, 1),
+])
+_LISTED = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o)"
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_OP3_SPANS}),
+g AS (SELECT rid, {_LISTED} AS spans, {_LISTED} FILTER (o < 3) AS base, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex
+      FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_and_next(table(spark, sf_dir, "documents"))
 
@@ -166,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op3_secrets": OP3_SQL,
         "op5_revisits": OP5_SQL,
         "op9_chat": OP9_SQL,
     }
