@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns
+from tidemark.llm.common import append_columns, free_names, name_of, quoted
 
 ROUNDS = 8
 #: The first and last date that count as dates.
@@ -110,19 +110,45 @@ def _spread(digits: str, like: str) -> str:
     return re.sub("[0-9]", lambda _: next(it), like)
 
 
-def _card(m: re.Match) -> Format | None:
-    digits = re.sub("[^0-9]", "", m[0])
-    if luhn_digit(digits[:-1]) != digits[-1]:
+def _card(value: str) -> Format | None:
+    digits = re.sub("[^0-9]", "", value)
+    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]:
         return None
     n = len(digits) - 1
 
     def write(x: int) -> str:
         body = f"{x:0{n}d}"
-        return _spread(body + luhn_digit(body), m[0])
+        return _spread(body + luhn_digit(body), value)
 
     return Format("card", f"card{n}", 10**n, int(digits[:-1]), write)
 
 
+#: How the digits of cards are grouped where other numbers stand beside them.
+_GROUPED = re.compile("[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,4}(?:\\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5}")
+
+
+def _cards(m: re.Match) -> Iterator[tuple[int, int, Format]]:
+    """Card numbers in a run of groups of digits: from its first group as many as can be, else groups as on cards, from left to right, longer ones first."""
+    groups = [(g.start(), g.end()) for g in re.finditer("[0-9]+", m[0])]
+    i = 0
+    while i < len(groups):
+        start, digits, ends = groups[i][0], 0, []
+        for a, b in groups[i:]:
+            digits += b - a
+            if digits > 19:
+                break
+            if digits >= 13:
+                ends.append(b)
+        found = None
+        for k, end in enumerate(reversed(ends)):
+            value = m[0][start:end]
+            if (i == 0 and k == 0 or _GROUPED.fullmatch(value)) and (found := _card(value)):
+                yield m.start() + start, m.start() + end, found
+                i = next(j for j, g in enumerate(groups) if g[1] == end)
+                break
+        i += 1
+
+
 def _phone(m: re.Match) -> Format:
     digits = re.sub("[^0-9]", "", m[0])
     if m[0][0] == "+":
@@ -161,10 +187,10 @@ def _ip(m: re.Match) -> Format | None:
     return Format("ip", "ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), lambda x: ".".join(map(str, x.to_bytes(4, "big"))))
 
 
-def _iban(m: re.Match) -> Format | None:
-    plain = m[0].replace(" ", "")
+def _iban(text: str) -> Format | None:
+    plain = text.replace(" ", "")
     value = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or value(plain[4:] + plain[:4]) % 97 != 1:
+    if not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", plain) or value(plain[4:] + plain[:4]) % 97 != 1:
         return None
     shape, size, number = _symbols(plain[4:])
 
@@ -172,11 +198,24 @@ def _iban(m: re.Match) -> Format | None:
         body = _written(shape, x)
         new = f"{plain[:2]}{98 - value(body + plain[:2] + '00') % 97:02d}{body}"
         it = iter(new)
-        return re.sub("[A-Z0-9]", lambda _: next(it), m[0])
+        return re.sub("[A-Z0-9]", lambda _: next(it), text)
 
     return Format("iban", f"iban{plain[:2]}{shape}", size, number, write) if 2 <= int(plain[2:4]) <= 98 else None
 
 
+def _ibans(m: re.Match) -> Iterator[tuple[int, int, Format]]:
+    """Account numbers in groups of capitals and digits: from left to right, longer ones first."""
+    groups = [(g.start(), g.end()) for g in re.finditer("[A-Z0-9]+", m[0])]
+    at = 0
+    for i, (start, _) in enumerate(groups):
+        if start >= at:
+            for _, end in reversed(groups[i:]):
+                if found := _iban(m[0][start:end]):
+                    yield m.start() + start, m.start() + end, found
+                    at = end
+                    break
+
+
 def _email(m: re.Match) -> Format | None:
     local, _, domain = m[0].rpartition("@")
     shape, size, number = _symbols(local)
@@ -191,9 +230,19 @@ def _day(y: str, m: str, d: str) -> int | None:
     return n - FIRST if FIRST <= n <= LAST else None
 
 
+def _date(n: int, write: Callable[[dt.date], str]) -> Format:
+    """A date, permuted among those whose day is above 12, or is not, whatever its spelling: so equal dates in any spelling stay linked, and month first stays legible."""
+    d = dt.date.fromordinal(FIRST + n)
+    if d.day > 12:
+        return Format("date", "date>12", _after12(LAST - FIRST + 1), _after12(n), lambda x: write(_unit(x)))
+    months = (LAST - FIRST + 1 - _after12(LAST - FIRST + 1)) // 12
+    number = 12 * (12 * (d.year - 1900) + d.month - 1) + d.day - 1
+    return Format("date", "date", 12 * months, number, lambda x: write(dt.date(1900 + x // 144, x // 12 % 12 + 1, x % 12 + 1)))
+
+
 def _iso(m: re.Match) -> Format | None:
     n = _day(*m[0].split("-"))
-    return n if n is None else Format("date", "iso", LAST - FIRST + 1, n, lambda x: dt.date.fromordinal(FIRST + x).isoformat())
+    return n if n is None else _date(n, dt.date.isoformat)
 
 
 def _unit(k: int) -> dt.date:
@@ -222,24 +271,32 @@ def _slashed(m: re.Match) -> Format | None:
     mark, (a, b, y) = m[1], m[0].split(m[1])
     n = _day(y, b, a)
     if n is not None:
-        return Format("date", "dmy", LAST - FIRST + 1, n, lambda x: dt.date.fromordinal(FIRST + x).strftime(f"%d{mark}%m{mark}%Y"))
+        return _date(n, lambda d: d.strftime(f"%d{mark}%m{mark}%Y"))
     n = _day(y, a, b)
-    if n is None:
-        return None
-    return Format("date", "mdy", _after12(LAST - FIRST + 1), _after12(n), lambda x: _unit(x).strftime(f"%m{mark}%d{mark}%Y"))
+    return n if n is None else _date(n, lambda d: d.strftime(f"%m{mark}%d{mark}%Y"))
+
+
+def _one(read: Callable[[re.Match], Format | None]) -> Callable[[re.Match], Iterator[tuple[int, int, Format]]]:
+    """A match that is one value or none."""
+
+    def each(m: re.Match) -> Iterator[tuple[int, int, Format]]:
+        if found := read(m):
+            yield m.start(), m.end(), found
+
+    return each
 
 
 #: The patterns of the kinds; where two begin at one place the first listed counts.
-KINDS: tuple[tuple[str, str, Callable[[re.Match], Format | None]], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", _email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ip),
-    ("iso", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", _iso),
-    ("slashed", r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])", _slashed),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
-    ("plus", r"(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?\(?[0-9]\)?){8,13}(?![0-9])", _phone),
-    ("phone", r"(?<![0-9A-Za-z.(+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])", _phone),
-    ("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", _card),
+KINDS: tuple[tuple[str, str, Callable[[re.Match], Iterator[tuple[int, int, Format]]]], ...] = (
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", _one(_email)),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _ibans),
+    ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _one(_ip)),
+    ("iso", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", _one(_iso)),
+    ("slashed", r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./][0-9])", _one(_slashed)),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _one(_ssn)),
+    ("plus", r"(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?\(?[0-9]\)?){8,13}(?![0-9])", _one(_phone)),
+    ("phone", r"(?<![0-9A-Za-z.(+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])", _one(_phone)),
+    ("card", r"(?<![0-9A-Za-z.-])[0-9]+(?:[ -][0-9]+)*(?![0-9A-Za-z])", _cards),
 )
 COUNTED = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
@@ -266,7 +323,7 @@ class Pseudonymizer:
         has_digit = self.digit.search(text)
         for order, (p, f) in enumerate(self.patterns):
             if (order == 0 and "@" in text) or (order and has_digit):
-                found += [(m.start(), order, m.end(), x) for m in p.finditer(text) if (x := f(m))]
+                found += [(a, order, b, x) for m in p.finditer(text) for a, b, x in f(m)]
         at = 0
         for a, _, b, x in sorted(found, key=lambda v: v[:2]):
             if a >= at:
@@ -286,9 +343,12 @@ class Pseudonymizer:
 def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_email`` .. ``n_card``: how many values of each kind were replaced.
 
-    A null text stays null and counts nothing. All rows and columns stay,
-    columns with a count's name are replaced; no shuffle. Values of other
-    formats, and those that fail their kind's check (the Luhn digit, the
+    A null text stays null and counts nothing. All rows stay, repeated ones
+    too, and no rows give none; whole texts are read, however long. All columns
+    stay, those with a count's name are replaced; no shuffle. ``text`` is found
+    as Spark finds names (upper or lower case alike, unless the session says
+    otherwise); if it fits no column or several, that is an error. Values of
+    other formats, and those that fail their kind's check (the Luhn digit, the
     calendar, the ranges), stay as they are.
     """
 
@@ -306,6 +366,8 @@ def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text", back: bool
 
         return step
 
-    new = [T.StructField("__text", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in COUNTED]]
-    out = append_columns(docs, {"text": F.col(f"`{text}`")}, new, start)
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in out.columns if c != "__text"])
+    text = name_of(docs, text)
+    (own,) = free_names(docs, "__text")
+    new = [T.StructField(own, T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in COUNTED]]
+    out = append_columns(docs, {"text": F.col(quoted(text))}, new, start)
+    return out.select(*[F.col(own).alias(c) if c == text else F.col(quoted(c)) for c in out.columns if c != own])
