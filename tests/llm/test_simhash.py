@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -103,3 +104,24 @@ def test_one_id_with_different_texts(spark):
     for find in (simhash.with_roots, resemblance.near_duplicates):
         kept = sorted(map(tuple, simhash.keep_one_each(df, find=find).collect()), key=str)
         assert kept == sorted([rows[0], rows[2], rows[3], *rows[5:]], key=str)
+
+
+def test_many_fingerprints_that_share_a_half(spark):
+    """Pairs at a crowded anchor are compared under finer keys: not all with all, and no link is lost."""
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 32, 40_000, np.uint64) << np.uint64(32) | np.uint64(0x1234567)
+    fps[:400] = fps[1000:1400] ^ (np.uint64(1) << rng.integers(32, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 31, 400).astype(np.uint64))
+    fps[400:600] = fps[1000:1200] ^ np.uint64(7 << 40)
+    fps = np.unique(fps)
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    began = time.time()
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
+    took = time.time() - began
+    pairs = 0
+    for i in range(0, fps.size, 500):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 500, None] ^ fps[None, :]) <= 3)
+        for x, y in zip(fps[a + i].view(np.int64).tolist(), fps[b].view(np.int64).tolist(), strict=True):
+            if x != y:
+                pairs += 1
+                assert roots[x] == roots[y]
+    assert pairs >= 800 and took < 60

@@ -9,13 +9,17 @@ a half), at most 16 a half. Of a linked pair, each one visits the home of the
 other. At an anchor, the homes are compared with all visitors.
 
 Nothing grows with the square of a group: equal texts are one fingerprint, each
-anchor reports a spanning forest of its links and not the pairs, and an anchor
-with many homes is split, its homes dealt out and its visitors repeated.
+anchor reports a spanning forest of its links and not the pairs. At an anchor
+with many homes, fingerprints meet under finer keys: the other half is cut into
+six blocks, and as three bits differ at most, three blocks are alike, so each
+choice of three blocks is a key. Only fingerprints that are alike in all this and
+still very many are compared all with all, homes dealt out and visitors repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, materialize, shuffle_partitions, utf8
+from tidemark.llm.common import append_columns, column, free_names, materialize, name_of, quoted, shuffle_partitions, utf8
 
 #: Differing bits at which fingerprints link; homes of an anchor compared by one task at a time.
 THRESHOLD, HOMES_AT_ONCE = 3, 1024
@@ -59,7 +63,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name
 
         return step
 
-    return append_columns(docs, {"text": F.col(f"`{text}`")}, [T.StructField(name, T.LongType())], start)
+    return append_columns(docs, {"text": column(docs, text)}, [T.StructField(name, T.LongType())], start)
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -183,18 +187,42 @@ def links(nodes: DataFrame, homes_at_once: int = HOMES_AT_ONCE) -> DataFrame:
     """
     spark = nodes.sparkSession
     sent = nodes.select("fp").mapInArrow(_to_anchors, "anchor long, fp long, visits byte")
-    crowded = sent.where("visits = 0").groupBy("anchor").count().where(F.col("count") > homes_at_once)
-    crowded = materialize(crowded.select("anchor", F.ceil(F.col("count") / homes_at_once).cast("int").alias("parts")), "anchors")
-    # Joined by broadcast only if few anchors are crowded; their number is known now.
-    few = crowded.limit(10_001).count() <= 10_000
-    sent = sent.join(F.broadcast(crowded) if few else crowded, "anchor", "left")
-    mine = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    sent = sent.select("anchor", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(mine)).alias("part"), "visits", "fp")
+    crowded, few = _crowded(sent, ["anchor"], homes_at_once)
+    if crowded is None:
+        dealt = sent.select("anchor", F.lit(0).cast("long").alias("part"), "visits", "fp")
+    else:
+        marked = sent.join(F.broadcast(crowded) if few else crowded, "anchor", "left")
+        plain = marked.where("parts IS NULL").select("anchor", F.lit(0).cast("long").alias("part"), "visits", "fp")
+        other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+        keys = F.array(*[F.xxhash64(F.lit(i), other.bitwiseAND(F.lit(m))) for i, m in enumerate(_choices())])
+        fine = marked.where("parts IS NOT NULL").select("anchor", F.explode(keys).alias("part"), "visits", "fp")
+        still, few = _crowded(fine, ["anchor", "part"], homes_at_once)
+        if still is not None:
+            fine = fine.join(F.broadcast(still) if few else still, ["anchor", "part"], "left")
+            mine = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+            fine = fine.select("anchor", "part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(mine)).alias("slice"), "visits", "fp")
+            fine = fine.select("anchor", F.when(F.col("slice") == 0, F.col("part")).otherwise(F.xxhash64("part", "slice")).alias("part"), "visits", "fp")
+        dealt = plain.unionByName(fine)
     n = 2 * shuffle_partitions(spark)
-    dealt = sent.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "visits")
+    dealt = dealt.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "visits")
     return dealt.mapInArrow(_links(THRESHOLD), "a long, b long").distinct()
 
 
+def _choices() -> list[int]:
+    """The bits of each three of the six blocks of a half."""
+    bounds = [0, 6, 12, 17, 22, 27, 32]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, 3)]
+
+
+def _crowded(sent: DataFrame, key: list[str], homes_at_once: int) -> tuple[DataFrame | None, bool]:
+    """The keys with more homes than are compared at once and in how many parts they are dealt (none: nothing), and whether they are few enough to be broadcast."""
+    found = sent.where("visits = 0").groupBy(*key).count().where(F.col("count") > homes_at_once)
+    found = materialize(found.select(*key, F.ceil(F.col("count") / homes_at_once).cast("int").alias("parts")), "crowded")
+    n = found.limit(10_001).count()
+    return (found if n else None), n <= 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The connected components of ``edges`` (``a``, ``b``): columns ``node`` and ``root``.
 
@@ -233,15 +261,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts have the fingerprint 0 and link like any other. Null
     ids are ignored for the smallest id (a component of nulls has a null id);
-    repeated ids and rows are kept; an empty table gives no rows.
+    repeated ids and rows are kept; an empty table gives no rows; other columns
+    are left out; whole texts count, however long.
     """
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    slim = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
     return _grouped(slim, shingle).select("doc_id", "fp", "component_id")
 
 
 def with_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """The same groups, for ``keep_one_each``: ``doc_id``, ``text_hash`` and ``root`` of each row."""
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    slim = docs.select(column(docs, doc_id).alias("doc_id"), F.xxhash64(column(docs, text)).alias("text_hash"), column(docs, text).alias("text"))
     return _grouped(slim, shingle).select("doc_id", "text_hash", "root")
 
 
@@ -265,15 +294,18 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Rows are told apart by id and text: an id may be in several groups with
     different texts, and each group keeps its own. Rows of one id and text are
     repeated rows, and one of them stays. Rows whose id is null stay: nothing
-    tells them apart.
+    tells them apart. Null and empty texts are a group of their own; no rows
+    give none; all columns stay, whatever their names.
     """
     found = materialize(find(docs, doc_id, text, shingle).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "root"), "groups")
     row = F.struct("doc_id", "text_hash")
     first = found.groupBy("root").agg(F.min(row).alias("first"))
-    key = [F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")]
+    gone_id, gone_text = free_names(docs, "__gone", "__text")
+    key = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)]
+    doc_id, text = name_of(docs, doc_id), name_of(docs, text)
     gone = found.join(first, "root").where(row != F.col("first")).select(*key).distinct()
     twice = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select(*key), "repeated")
-    same = (F.col(f"`{doc_id}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__text"))
+    same = (F.col(quoted(doc_id)) == F.col(gone_id)) & (F.xxhash64(F.col(quoted(text))) == F.col(gone_text))
     kept = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return kept
