@@ -102,8 +102,9 @@ def append_columns(
     inputs: dict[str, Column],
     fields: list[T.StructField],
     start: Callable[[], Callable[[list[pa.Array]], list]],
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``df`` and, after them, ``fields`` computed from ``inputs``.
+    """All columns of ``df`` (or those in ``keep``) and, after them, ``fields`` computed from ``inputs``.
 
     ``start`` runs once a task and gives a function from the input columns of
     a batch to the new columns. A column of ``df`` that bears the name of a new
@@ -111,7 +112,7 @@ def append_columns(
     shuffle.
     """
     new = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in new]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     work = df.select(*[F.col(quoted(c)) for c in kept], *[c.alias(n) for n, c in zip(free_names(df, *(f"__in_{k}" for k in inputs)), inputs.values(), strict=True)])
     schema = T.StructType([*work.schema.fields[: len(kept)], *fields])
     n, types = len(kept), arrow_schema(fields)
