@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import append_columns, column, materialize, slices
 
 #: Words whose ids a worker holds in each of two generations. Bytes of text that are looked up at a time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _AT_ONCE = 8 << 20
 #: Latin letters and ASCII marks after them, else nothing, for each line.
 _WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
