@@ -1,11 +1,12 @@
 import datetime as dt
+import io
 import json
 import logging
 import os
 
 import pytest
 
-from tidemark import hooks
+from tidemark import cli, hooks
 from tidemark.model import RunConfig
 from tidemark.operators import inventory, session
 from tidemark.plans.catalogue import _no_wait as no_wait
@@ -160,3 +161,15 @@ def test_sign_in_trusts_the_session_and_needs_a_device():
     bare.requires_2fa, bare.requires_2sa = False, True
     with pytest.raises(RuntimeError, match="no trusted device"):
         connector.sign_in(lambda *a, **k: bare, "me", ask=lambda _: "0")
+
+
+def test_the_command_line_transfers_and_logs(spark, sides, tmp_path):
+    theirs, mine = sides
+    (theirs / "bare").mkdir()
+    log, out = tmp_path / "logs/run.log", io.StringIO()
+    assert cli.run(spark, [f"folder:{theirs}", f"folder:{mine}", "--transfer", "--log-file", str(log), "--email", "me@example.com"], out=out) == 0
+    assert "2 of 2 files transferred" in out.getvalue() and (mine / "new.bin").read_bytes() == b"0123456789"
+    for args in (["--list", "d"], ["--list", "bare"], ["--list", "new.bin"], ["--list", "none"], ["--list-shared"]):
+        assert cli.run(spark, [f"folder:{theirs}", *args, "--log-file", str(log)], out=out) == 0
+    said = [json.loads(x.split(" - ", 2)[2])["event"] for x in log.read_text().splitlines()]
+    assert said[0] == "download_started" and set(said) >= {"download_success", "download_completed", "listing_contents", "empty_directory", "item_info", "listing_error", "no_shared_items"}

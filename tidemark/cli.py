@@ -1,18 +1,25 @@
-"""A command line: plan a sync, list, summarise. ``python -m tidemark.cli --help``.
+"""A command line: plan a sync or do it, list, summarise. ``python -m tidemark.cli --help``.
 
-Inventories are Parquet tables of the inventory schema, or local folders.
+Inventories are Parquet tables of the inventory schema (with ``url`` where files
+are to be transferred), or folders.
 """
 
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.hooks import Registry
+from tidemark.logsetup import setup_logging
 from tidemark.model import CHUNK_SIZE, RunConfig
 from tidemark.operators import filters, inventory, sync
+from tidemark.operators.session import sync_session
+from tidemark.sources.http import files_transport
 from tidemark.sources.local import listing
 from tidemark.sources.profiles import Profile, load_profile
 
@@ -21,6 +28,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark", description="What a sync of a remote inventory to a local one would do.")
     p.add_argument("remote", help="a Parquet table of inventory rows, or folder:PATH")
     p.add_argument("local", nargs="?", help="the same for the local side")
+    p.add_argument("--transfer", action="store_true", help="do what the plan says; the local side is a folder, the addresses are paths on a mounted drive")
+    p.add_argument("--email", help="the account that the inventory is of")
+    p.add_argument("--log-file", help="write the events of a listing or a transfer to this file, too")
     p.add_argument("--list", metavar="PATH", help="list what a folder holds, and end")
     p.add_argument("--list-shared", action="store_true", help="list the shared roots, and end")
     p.add_argument("--profile", help="a profile of include and exclude patterns")
@@ -38,11 +48,17 @@ def _read(spark: SparkSession, at: str) -> DataFrame:
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout, hooks: Registry | None = None) -> int:
     a = parser().parse_args(argv)
-    RunConfig(workers=a.max_workers, retries=a.max_retries, chunk_size=a.chunk_size)
+    config = RunConfig(email=a.email, workers=a.max_workers, retries=a.max_retries, chunk_size=a.chunk_size)
     items = _read(spark, a.remote)
+    logger = setup_logging(a.log_file) if a.log_file else None
     # Listing the shared roots comes before listing a path, and that before a plan.
     if a.list_shared or a.list is not None:
         rows = inventory.list_shared_roots(items) if a.list_shared else inventory.list_children(items, a.list)
+        if logger:
+            asked = spark.createDataFrame([(a.list or "",)], "request string")
+            said = inventory.shared_listing_event(items) if a.list_shared else inventory.listing_events(items, asked)
+            for r in said.collect():  # one row
+                logger.log(getattr(logging, r["level"]), r["body"])
         contents = [{"name": r.name, "type": r.type} for r in rows.orderBy("name").toLocalIterator()]
         for c in contents:
             print(f"{c['type']}\t{c['name']}", file=out)
@@ -54,6 +70,15 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, hooks: Registry |
         print("a local side is needed", file=sys.stderr)
         return 1
     profile = load_profile(a.profile_file, a.profile) if a.profile else Profile()
+    if a.transfer:
+        there, here = a.remote.removeprefix("folder:"), a.local.removeprefix("folder:")
+        if "url" not in items.columns:
+            items = items.withColumn("url", F.when(F.col("type") == "file", F.concat(F.lit(there.rstrip("/") + "/"), "path")))
+        config = replace(config, include=tuple(profile.include), exclude=tuple(profile.exclude))
+        s = sync_session(items.where("root = 'owned'"), here, files_transport, config=config, hooks=hooks, logger=logger, source=there)
+        moved = s.summary["total_bytes_transferred"] / 1048576
+        print(f"{s.summary['successful']} of {s.summary['total_files']} files transferred, {s.summary['failed']} failed, {moved:.2f} MB", file=out)
+        return 0 if not s.summary["failed"] else 1
     keep = filters.filter_pruned if a.mode == "compat" else filters.filter_files
     files = keep(inventory.readable_files(items.where("root = 'owned'")), profile.include, profile.exclude)
     plan = sync.sync_plan(files, inventory.readable_files(_read(spark, a.local)))
