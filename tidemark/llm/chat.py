@@ -124,6 +124,7 @@ def digest_conversations(turns: DataFrame, source: str = DEFAULT, *, conv_id: st
     Columns: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``,
     ``loss_sha256``, ``formatted_chars``. Conversations are rendered, read and
     digested as streams, so one of any length needs the memory of one turn.
+    Other columns of ``turns`` are left out, whatever their names.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

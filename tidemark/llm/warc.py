@@ -127,6 +127,10 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     later under another spelling of its address, with other permitted and other
     headers; and before the first capture. Every seventh page's second visit
     has another entity tag, so it is stale.
+
+    A null HTML is empty; a page without id or address has records without them,
+    which nothing joins; repeated pages have repeated records; no pages give
+    none; other columns are left out.
     """
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("page_id"), F.lit(5000)) * 60)
     tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
