@@ -113,8 +113,10 @@ def append_columns(
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    work = df.select(*[F.col(quoted(c)) for c in kept], *[c.alias(n) for n, c in zip(free_names(df, *(f"__in_{k}" for k in inputs)), inputs.values(), strict=True)])
-    schema = T.StructType([*work.schema.fields[: len(kept)], *fields])
+    # Inside, columns go by number: not all names can be passed to Python.
+    work = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], *[c.alias(f"in{i}") for i, c in enumerate(inputs.values())])
+    own = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(kept, work.schema.fields, strict=False)]
+    schema = T.StructType([*own, *fields])
     n, types = len(kept), arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,7 @@ def append_columns(
                 batch = whole.slice(a, rows)
                 out = step([batch.column(n + i) for i in range(batch.num_columns - n)])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*batch.schema.names[:n], *types.names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*kept, *types.names])
 
     return work.mapInArrow(run, schema)
 
