@@ -43,7 +43,7 @@ class Registry:
 
     def load(self, folders: Iterable[str]) -> None:
         """The first hook class of each module in the folders that exist, each folder once; a module that fails is left out and counted."""
-        for folder in dict.fromkeys(Path(f) for f in folders):
+        for folder in dict.fromkeys(Path(f).expanduser().resolve() for f in folders):
             for file in sorted(folder.glob("*.py")) if folder.is_dir() else []:
                 try:
                     spec = importlib.util.spec_from_file_location(f"_tidemark_hook_{abs(hash(file))}_{file.stem}", file)
