@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 
 #: About as many bytes of a batch are worked on at a time.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,10 +117,20 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return key ^ key >> np.uint64(29), inside
 
 
+def _own(text: bytes) -> np.ndarray:
+    """The different runs of characters in a text's words."""
+    key, inside = _grams(f" {' '.join(_plain(text))} ")
+    return np.unique(key[inside])
+
+
 def _docs_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of characters in words, and how many texts have each."""
-    own = [np.unique(key[inside]) for t in texts for key, inside in [_grams(f" {' '.join(_plain(t))} ")]]
-    return np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """The runs of characters in words, and how many texts have each; put together some texts at a time."""
+    grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), 250):
+        new, m = np.unique(np.concatenate([_own(t) for t in texts[i : i + 250]]), return_counts=True)
+        grams, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, m]), grams.size).astype(np.int64)
+    return grams, n
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
@@ -131,28 +142,33 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[
     statistic must exceed what the likeliest of so many grams would have.
     """
     grams, a = _docs_with(toxic)
-    other, n_other = _docs_with(ordinary)
-    at = np.minimum(np.searchsorted(other, grams), max(0, other.size - 1))
-    b = np.where(other[at] == grams, n_other[at], 0) if other.size else np.zeros(grams.size, np.int64)
     n0, n1 = len(ordinary), len(toxic)
     base, chance = np.log((n1 + 1) / (n0 + 1)), 2 * np.log(max(2, grams.size)) + 4
+    grams, a = grams[a >= s.least_docs], a[a >= s.least_docs]
+    b = np.zeros(grams.size, np.int64)
+    for t in ordinary if grams.size else ():
+        own = _own(t)
+        at = np.minimum(np.searchsorted(grams, own), grams.size - 1)
+        b[at[grams[at] == own]] += 1
     e = (a + b) * n1 / (n0 + n1)
     evidence = 2 * (a * np.log(a / e) + b * np.log(np.maximum(b, 1) / (a + b - e)))
-    able = (a >= s.least_docs) & (np.log((a + 0.5) / (b + 0.5)) - base > s.least_odds) & (evidence > chance)
+    able = (np.log((a + 0.5) / (b + 0.5)) - base > s.least_odds) & (evidence > chance)
     grams, a = grams[able], a[able]
-    pairs = Counter(p for t in toxic for w in [_plain(t)] for p in zip(["", *w], w, strict=False))
-    words = sorted({w for _, w in pairs})
-    joined = "".join(f" {w} " for w in words)
-    key, inside = _grams(joined)
-    place = np.flatnonzero(inside & np.isin(key, grams))
-    first = np.cumsum([0, *(len(w) + 2 for w in words)])
+    words = sorted({w for t in toxic for w in _plain(t)})
     hot: dict[str, list[tuple[int, int]]] = {}
-    for k, p in zip(key[place].tolist(), place.tolist(), strict=True):
-        i = int(np.searchsorted(first, p, "right")) - 1
-        hot.setdefault(words[i], []).append((p - int(first[i]), k))
+    for i in range(0, len(words), 20_000):
+        some = words[i : i + 20_000]
+        key, inside = _grams("".join(f" {w} " for w in some))
+        place = np.flatnonzero(inside & np.isin(key, grams))
+        first = np.cumsum([0, *(len(w) + 2 for w in some)])
+        which = np.searchsorted(first, place, "right") - 1
+        for k, j, p in zip(key[place].tolist(), which.tolist(), (place - first[which]).tolist(), strict=True):
+            hot.setdefault(some[j], []).append((p, k))
+    # Only words with such a run are counted, each with the word before it.
+    pairs = Counter((before, w) for t in toxic for own in [_plain(t)] for before, w in zip(["", *own], own, strict=False) if w in hot)
     after: dict[int, set[str]] = {k: set() for k in grams.tolist()}
     for before, word in pairs:
-        for _, k in hot.get(word, ()):
+        for _, k in hot[word]:
             after[k].add(before)
     stay = {k for k, n in zip(grams.tolist(), a.tolist(), strict=True) if len(after[k]) >= max(s.least_docs, n / 5)}
     runs: Counter = Counter()
@@ -231,20 +247,24 @@ def train(rows: list[tuple[bytes, int]], s: Settings = Settings(), stands_for: t
     return calibrate(model, model.features(t for t, _ in rows), np.array([y for _, y in rows]), stands_for) if model.ordinary else model
 
 
-def _train(spark: SparkSession, rows: list[tuple[bytes, int]], s: Settings, stands_for: tuple[float, float]) -> Model:
-    """The same, with the features of the rows, which are bounded, worked out by the executors."""
-    model = dictionaries(rows, s)
+def _train(texts: DataFrame, rows: dict[object, tuple[bytes, int]], s: Settings, stands_for: tuple[float, float]) -> Model:
+    """The same for rows by id of ``texts`` (``i``, ``t``), with their features, which are bounded, worked out where the texts are."""
+    spark, model = texts.sparkSession, dictionaries(list(rows.values()), s)
     if not model.ordinary:
         return model
-    shared, parts = spark.sparkContext.broadcast(model), min(64, 1 + len(rows) // 50)
-    frame = pa.table({"part": pa.array([i % parts for i in range(len(rows))]), "t": pa.array([t for t, _ in rows], pa.binary()), "y": pa.array([int(y) for _, y in rows])})
+    shared = spark.sparkContext.broadcast(model)
+    sign = lambda h: h - (1 << 64) if h >> 63 else h
+    chosen = [(i, sign(xxhash.xxh64_intdigest(t, 42)), int(y)) for i, (t, y) in rows.items()]
+    rows.clear()
+    chosen = spark.createDataFrame(chosen, T.StructType([texts.schema["i"], T.StructField("h", T.LongType()), T.StructField("y", T.LongType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = shared.value.features(b.column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+    def start():
+        return lambda columns: [pa.array(list(shared.value.features(utf8(columns[0]))), pa.list_(pa.float64()))]
 
-    got = spark.createDataFrame(frame).repartition(parts, "part").mapInArrow(run, "y long, x array<double>").collect()
+    # Bounded by the sample: broadcast. Of equal rows one counts.
+    mine = texts.join(F.broadcast(chosen), (texts["i"] == chosen["i"]) & (F.xxhash64(texts["t"]) == chosen["h"])).select(texts["i"], texts["t"], "y")
+    got = append_columns(mine, {"text": F.col("t")}, [T.StructField("x", T.ArrayType(T.DoubleType()))], start, keep=["i", "y"]).collect()
+    got = list({r.i: r for r in got}.values())
     return calibrate(model, np.array([r.x for r in got]), np.array([r.y for r in got]), stands_for)
 
 
@@ -263,21 +283,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """
     known = labels.select(column(labels, doc_id).alias("i"), column(labels, label).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
-    rows: list[tuple[bytes, int]] = []
+    rows: dict[object, tuple[bytes, int]] = {}
     texts = docs.select(column(docs, doc_id).alias("i"), column(docs, text).alias("t")).where(F.octet_length("t").between(1, settings.row_bytes))
     taken, bound = [0, 0], False
     for y, most in ((1, settings.toxic_rows), (0, settings.ordinary_rows)):
         some = known.where((F.col("y") > 0) == bool(y)).orderBy("h", "i").limit(2 * most)
         got = texts.join(F.broadcast(some), "i").orderBy("h", "i", "t").limit(most).select("i", "t").collect()
         each = {r.i: r.t for r in reversed(got)}
-        rows += [(t.encode("utf-8", "surrogatepass"), y) for t in each.values()]
+        rows |= {i: (t.encode("utf-8", "surrogatepass"), y) for i, t in each.items()}
         taken[y], bound = len(each), bound or len(got) >= most
+        del got, each
     if not bound or not all(taken):
-        return _train(docs.sparkSession, rows, settings, (1, 1))
+        return _train(texts, rows, settings, (1, 1))
     # Each class was cut on its own: a row stands for its share of all that could have been taken.
     able = texts.select("i").join(known, "i").groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.countDistinct("i").alias("n"))
     n = {r.y: r.n for r in able.collect()}
-    return _train(docs.sparkSession, rows, settings, (n[0] / taken[0], n[1] / taken[1]))
+    return _train(texts, rows, settings, (n[0] / taken[0], n[1] / taken[1]))
 
 
 def annotate_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
