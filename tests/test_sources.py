@@ -253,3 +253,15 @@ def test_latest_positions_over_batches_and_listener(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.streams.removeListener(listener)
     assert "download_progress" in rec.told and "download_session_completed" in rec.told
+
+
+def test_version_maps_of_many_versions_are_many_files(spark, tmp_path):
+    rows = [(p, i, f"c{i}", "", "t") for p, n in [("hot", 3000), *((f"p{k}", 3) for k in range(400))] for i in range(n)]
+    v = spark.createDataFrame(rows, "path string, version int, checksum string, archived_path string, timestamp string")
+    writers.export_version_map(v, str(tmp_path / "m"), 700)
+    maps = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m"), wholetext=True).collect()]
+    sizes = [sum(map(len, m.values())) for m in maps]
+    assert len(maps) > 1 and sum(sizes) == 4200 and max(sizes) < 2500 and sum("hot" in m for m in maps) > 1
+    assert sorted(map(tuple, documents.read_versions(spark, str(tmp_path / "m")).collect())) == sorted(rows)
+    writers.export_version_map(v.limit(0), str(tmp_path / "none"))
+    assert documents.read_versions(spark, str(tmp_path / "none")).count() == 0

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import archived_path, file_stamp
 from tidemark.model import VERSION_MAP
 
+#: Neighbouring versions of a path that stay together where a map is dealt to several texts.
+VERSIONS_AT_ONCE = 500
+
 
 def version_history(contents: DataFrame, mode: str = "compat") -> DataFrame:
     """Versions from contents (``path``, ``seq`` that orders them, ``checksum``): ``path``, ``version``, ``checksum``, ``archived``."""
@@ -70,8 +73,15 @@ def from_map(documents: DataFrame, column: str = "value") -> DataFrame:
     return m.select("path", F.explode("list").alias("v")).select("path", "v.*")
 
 
-def to_map(versions: DataFrame) -> DataFrame:
-    """All versions as one JSON text: the metadata file's form, for maps of a size that one file may have."""
-    each = F.array_sort(F.collect_list(F.struct("version", "checksum", "archived_path", "timestamp")))
-    lists = versions.groupBy("path").agg(each.alias("list"))
-    return lists.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "list"))))).alias("value"))
+def to_map(versions: DataFrame, parts: int = 1) -> DataFrame:
+    """All versions as JSON texts in the metadata file's form: one, or about ``parts`` that hold like shares.
+
+    A path with many versions has some of them in each of several texts;
+    ``from_map`` brings all together again.
+    """
+    version = F.struct("version", "checksum", "archived_path", "timestamp")
+    # Of one path at most a share's versions are dealt alike, so none is a text's bulk.
+    part = F.pmod(F.xxhash64("path", F.floor(F.col("version") / VERSIONS_AT_ONCE)), F.lit(parts)) if parts > 1 else F.lit(0)
+    lists = versions.groupBy(part.alias("part"), "path").agg(F.array_sort(F.collect_list(version)).alias("list"))
+    text = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "list"))))).alias("value")
+    return lists.groupBy("part").agg(text).select("value") if parts > 1 else lists.agg(text)

@@ -16,6 +16,9 @@ from tidemark.operators.checkpoints import cleanup, save_positions
 from tidemark.operators.results import report
 from tidemark.operators.versions import to_map
 
+#: Versions in a file of a map: some megabytes, which a task holds whole when it writes or reads them.
+FILE_VERSIONS = 10_000
+
 
 def write_report(results: DataFrame, at: Column, folder: str) -> None:
     """The session's report as one JSON text, in place of an earlier one."""
@@ -27,8 +30,10 @@ def write_versions(versions: DataFrame, folder: str) -> None:
     versions.write.mode("append").parquet(folder)
 
 
-def export_version_map(versions: DataFrame, folder: str) -> None:
-    to_map(versions).coalesce(1).write.mode("overwrite").text(folder)
+def export_version_map(versions: DataFrame, folder: str, file_versions: int = FILE_VERSIONS) -> None:
+    """The map as files of about ``file_versions`` versions at most, each one JSON document; few versions make one file."""
+    parts = -(-versions.count() // file_versions)
+    to_map(versions, parts).write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
 
 
 def write_checkpoints(checkpoints: DataFrame, new: DataFrame, results: DataFrame, folder: str) -> None:
