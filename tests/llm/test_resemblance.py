@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import resemblance
@@ -72,5 +74,32 @@ def test_the_stage_links_edited_copies(spark):
     assert kept == sorted(d for d, c in want.items() if d == c) and pairs
 
 
+def test_simhash_finds_close_copies_and_the_sets_decide(spark):
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+    rows = [(i, " ".join([*base[: 100 * i], f"x{i}", *base[100 * i :]])) for i in range(5)] + [(9, " ".join(f"z{i}" for i in range(300)))]
+    sketched = resemblance.sketches(spark.createDataFrame(rows, SCHEMA)).withColumn("bands", F.array().cast("array<long>"))
+    prints = {r.doc_id: r.fp for r in sketched.collect()}
+    bits = lambda a, b: ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count()
+    want, top = {d: d for d in prints}, None
+    while top != want:
+        top = dict(want)
+        want = {d: min(want[x] for x in prints if bits(d, x) <= 3) for d in prints}
+    groups = {r.node: r.root for r in resemblance.roots(sketched).collect()}
+    of = {r.doc_id: groups.get(r.node, r.node) for r in sketched.collect()}
+    assert [[of[a] == of[b] for a in of] for b in of] == [[want[a] == want[b] for a in of] for b in of] and len(set(want.values())) < 6
+    # A fingerprint alone links nothing: here all are alike, and the sets tell 9 apart.
+    groups = {r.node: r.root for r in resemblance.roots(sketched.withColumn("fp", F.lit(1).cast("long"))).collect()}
+    assert {d: n in groups for d, n in ((r.doc_id, r.node) for r in sketched.collect())} == {d: d < 5 for d in prints}
+
+
+def test_parities_never_exceed_the_difference():
+    rnd = np.random.default_rng(3)
+    for n in (0, 5, 100, 3000):
+        x, y = (np.unique(np.concatenate([own, rnd.integers(0, 1 << 63, k, np.uint64)])) for own in [rnd.integers(0, 1 << 63, n, np.uint64)] for k in (7, 20))
+        apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(resemblance.parities(x), resemblance.parities(y), strict=True))
+        assert 0 < apart <= np.setxor1d(x, y).size
+
+
 def test_empty(spark):
     assert resemblance.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

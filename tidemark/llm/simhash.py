@@ -54,6 +54,14 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, as a signed long; 0 of none. Bits are in the order that the numbers have in memory."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, hashes.size, _BITS_AT_ONCE):
+        ones += np.unpackbits(hashes[a : a + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > hashes.size).tobytes(), "big", signed=True)
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
     """``docs`` and the fingerprint as a (signed) long. A null text has the fingerprint 0."""
 
