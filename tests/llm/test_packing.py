@@ -103,3 +103,14 @@ def test_pack_nothing_and_clashes(spark, whole):
     df = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, None)], "doc_id long, text string, piece int, Length string")
     assert packing.pack(df.limit(0), word_tokenizer()).count() == 0
     check_pack([(1, "a b"), (2, None)], packing.pack(df, word_tokenizer(), capacity=2).collect(), whole, 2)
+
+
+def test_a_worker_drops_its_words_when_another_task_begins():
+    from tidemark.llm import common, packing
+
+    path = word_tokenizer()
+    ask = lambda: packing.tokenizer_of_process(path)
+    first = common.begin(ask)
+    assert common.begin(ask) is first
+    common.begin(lambda: None)
+    assert not common._HELD and common.begin(ask) is not first

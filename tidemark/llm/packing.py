@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import append_columns, column, materialize, slices
+from tidemark.llm.common import append_columns, column, give_back, held, materialize, slices
 
 #: Words whose ids a worker holds in each of two generations. Bytes of text that are looked up at a time.
 CACHED_WORDS = 200_000
-_AT_ONCE = 8 << 20
+_AT_ONCE = 1 << 20
 #: Latin letters and ASCII marks after them, else nothing, for each line.
 _WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
 #: Texts whose ids must come out as the whole tokenizer's.
@@ -155,6 +154,8 @@ class WordTokenizer:
             alike = False
         if not alike:
             raise ValueError(f"{path}: not a byte-pair tokenizer that drops white space and keeps words apart")
+        del model
+        give_back()
 
     def _learn(self, new: list[bytes]) -> list[bytes]:
         """The ids of words that are not held."""
@@ -211,11 +212,10 @@ class WordTokenizer:
         return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=1)
 def tokenizer_of_process(path: str) -> WordTokenizer:
-    """One tokenizer a worker process: the tasks that it runs one after another share the words."""
+    """One tokenizer a worker process: the tasks that it runs one after another share the words, up to one that needs none."""
     gc.set_threshold(200_000, 50, 100)  # words and ids have no cycles, and come by the million
-    return WordTokenizer(path)
+    return held((WordTokenizer, path), lambda: WordTokenizer(path))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -259,7 +259,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
         return step
 
     slim = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("__text"))
-    out = append_columns(slim, {"text": F.col("__text")}, [pieces], start).drop("__text")
+    out = append_columns(slim, {"text": F.col("__text")}, [pieces], start, keep=["doc_id"])
     return out.select("doc_id", F.posexplode("__pieces").alias("piece", "p")).select("doc_id", "piece", "p.*")
 
 
